@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, edits, licences, mixing, spots, toxicity
+from palimpsest.llm import bpe, edits, licences, mixing, neardup, spots, toxicity
 from palimpsest.llm.common import materialise, remainder, table
 
 #: The rank file and the pattern of the byte-level tokenizer.
@@ -54,3 +54,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = totals.agg(F.sum("tokens")).first()[0]
     drawn = mixing.draw(light, mixing.plan(totals, entropy=0.97, budget=total), F.col("tokens"))
     return drawn.select("doc_id", "source", F.col("_block").alias("block"), F.col("_key").alias("order_key"), "tokens", F.col("_weight").alias("weight"))
+
+
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a similarity of 0.8 on shingles of two words."""
+    return neardup.linked(table(spark, sf_dir, "documents"), words=2).drop("node")
