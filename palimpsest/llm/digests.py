@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, edits, licences, mixing, neardup, spots, toxicity
+from palimpsest.llm import bpe, edits, licences, mixer, mixing, neardup, spots, toxicity
 from palimpsest.llm.common import materialise, remainder, table
 
 #: The rank file and the pattern of the byte-level tokenizer.
@@ -59,3 +59,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at a similarity of 0.8 on shingles of two words."""
     return neardup.linked(table(spark, sf_dir, "documents"), words=2).drop("node")
+
+
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability; folds 1 to 9 of 10 are learnt from."""
+    out = mixer.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return out.withColumn("held_out", ~F.col("train")).drop("train")
