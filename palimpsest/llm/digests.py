@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, edits, licences, mixer, mixing, neardup, spots, toxicity
+from palimpsest.llm import bpe, crosspoly, edits, licences, mixer, mixing, neardup, quotes, spots, toxicity
 from palimpsest.llm.common import materialise, remainder, table
 
 #: The rank file and the pattern of the byte-level tokenizer.
@@ -65,3 +65,21 @@ def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability; folds 1 to 9 of 10 are learnt from."""
     out = mixer.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
     return out.withColumn("held_out", ~F.col("train")).drop("train")
+
+
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return crosspoly.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written as mail (each message quotes the one before it, and within that the first line of
+    the one before that) and taken apart again."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")).groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    back = lambda n: rows.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
+    mail = rows.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    first = F.split("back2", "\n", 2)[0]
+    head = F.when(F.col("back2").isNotNull(), F.concat(quotes.quoted(first, ">> "), F.lit("\n"))).otherwise("")
+    text = F.when(F.col("back1").isNotNull(), F.concat(F.lit("On an earlier day they wrote:\n"), head, quotes.quoted(F.col("back1")), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    found = quotes.threads(mail.select("conv_id", "turn", text.alias("text")))
+    return found.select("conv_id", "turn", "n_quotes", "n_linked", "deepest", "reply_conv", "reply_turn", F.length("clean").cast("long").alias("n_chars"), F.sha2(F.col("clean"), 256).alias("clean_sha256"))
