@@ -1,10 +1,62 @@
-"""The corpus pipeline: toxic documents go, one of each group of near copies stays, sources are mixed, texts are encoded."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, sources are mixed, texts are encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder
+and reads it as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, mixing, neardup, toxicity
+from palimpsest.llm.common import discard, materialise, table
+from palimpsest.llm.digests import PATTERN, RANKS
+
+#: The pipeline's sources are repeated at most so often, and every document is used at least once.
+REPEATS = 2.0
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of a toxicity of 0.5 or more; the machine learns from the labelled rows of docs."""
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.annotate(docs, machine, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked at 0.8 on shingles of five words: that with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    """
+    kept = neardup.linked(docs, words=5).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at the temperature at which none is repeated more than REPEATS times; every document is drawn at least once."""
+    tokens = mixing.four_bytes(F.col("text"))
+    totals = materialise(mixing.source_totals(docs, tokens))
+    return mixing.draw(docs, mixing.plan(totals, repeats=REPEATS), tokens).select(*docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each drawn document."""
+    return bpe.round_trip(docs, RANKS, PATTERN).drop("n_split")
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("mixing", mix_sources), ("encoding", encode_texts)]
+
+#: No stage but the last could be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = None
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return docs
