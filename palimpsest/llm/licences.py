@@ -86,11 +86,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
 
     def places(phrase: str) -> Column:
         words = phrase.split()
-        all_words = F.split(F.trim(norm), " ")
-        at = F.filter(
-            F.sequence(F.lit(0), F.size(all_words) - len(words)),
-            lambda i: _every([F.get(all_words, i + k) == w for k, w in enumerate(words)]),
-        )
+        # The words are bound once; an inner function that split the text itself would do so for each place.
+        at = F.transform(
+            F.array(F.split(F.trim(norm), " ")),
+            lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) - len(words)), lambda i: _every([F.get(ws, i + k) == w for k, w in enumerate(words)])),
+        )[0]
         return F.when(norm.contains(f" {phrase} "), at).otherwise(F.array().cast("array<int>"))
 
     rows = rows.withColumn("_places", F.array(*[places(p) for p in phrases]))
