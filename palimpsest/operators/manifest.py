@@ -90,5 +90,6 @@ def collisions(paths: DataFrame, path: str = "path") -> DataFrame:
 def files_under_files(paths: DataFrame, path: str = "path") -> DataFrame:
     """ancestor, path: files whose folded path is a folder of another file."""
     p = F.col(path)
-    above = paths.select(p.alias("path"), F.explode(F.slice(prefixes(F.lower(p)), 1, F.size(F.split(p, "/")) - 1)).alias("folded"))
-    return above.join(paths.select(p.alias("ancestor"), F.lower(p).alias("folded")), "folded").select("ancestor", "path")
+    above = paths.select(p.alias("_path"), F.slice(prefixes(F.lower(p)), 1, F.size(F.split(p, "/")) - 1).alias("_above"))
+    above = above.select("_path", F.explode("_above").alias("folded"))
+    return above.join(paths.select(p.alias("ancestor"), F.lower(p).alias("folded")), "folded").select("ancestor", F.col("_path").alias("path"))
