@@ -58,7 +58,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at a similarity of 0.8 on shingles of two words."""
-    return neardup.linked(table(spark, sf_dir, "documents"), words=2).drop("node")
+    return neardup.linked(table(spark, sf_dir, "documents"), words=2).drop("h", "node", "stays")
 
 
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ largest part are compared with every chunk, so no link between parts is lost.
 Equal sets are one node throughout, so that copies cost nothing. No pairs of a group are listed.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and are linked with nothing; texts with
-fewer words than a shingle have one shingle of them all; rows that share a doc_id are documents of their own; a null
-doc_id counts as larger than all others; empty tables give empty tables.
+fewer words than a shingle have one shingle of them all; rows that share a doc_id but not a text are documents of their
+own; a null doc_id counts as larger than all others and links like them (a component of such rows only has a null
+component_id); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise, texts
@@ -95,8 +96,13 @@ def keys(sig: np.ndarray, deep: bool) -> np.ndarray:
     return h.view(np.int64)
 
 
+def identity() -> Column:
+    """What tells documents apart: doc_id (null last) and a hash of the text, in the order of representatives."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set, null if empty), sig."""
+    """doc_id, h (a hash of the text), n_shingles, node (a digest of the set, null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingles(words)
@@ -107,14 +113,16 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    names=["doc_id", "h", "n_shingles", "node", "sig"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, sig binary")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node binary, sig binary")
 
 
 def prefixed(nodes: DataFrame, deep: bool) -> DataFrame:
@@ -274,17 +282,19 @@ def exact_edges(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, node: components of the links with similarity of percent or more."""
+    """doc_id, h, n_shingles, component_id, kept, node, stays: components of the links with similarity of percent or more.
+
+    kept is doc_id = component_id; stays also tells rows of a component apart that share its smallest doc_id but not the text.
+    """
     chunk = chunk or CHUNK
     rows = materialise(described(docs, words))
-    first = F.min("doc_id")
-    nodes = rows.filter("node is not null").groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"))
     nodes = materialise(nodes)
     grouped = materialise(groups(nodes).join(nodes.select("node", "first", "size"), "node"))
     weights = grouped.groupBy("root").agg(F.sum("size").alias("weight"))
     dealt = grouped.join(weights, "root").withColumn("chunks", F.ceil(F.col("weight") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    held = dealt.join(docs.select(F.col("doc_id").alias("first"), F.col("text").cast("string").alias("text")), "first")
-    held = held.filter(F.col("first").isNotNull())
+    held = dealt.join(docs.select(identity().alias("first"), F.col("text").cast("string").alias("text")), "first")
     none = F.lit(None).cast("int")
     alone = held.select(F.struct("root", "chunk").alias("run"), none.alias("side"), F.lit(None).cast("binary").alias("part"), "node", "text", "chunks")
     large = weights.filter(F.col("weight") > chunk)
@@ -308,9 +318,10 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -
             links = materialise(links.union(exact_edges(left.union(right), words, percent)))
     part = components(links)
     least = part.join(nodes.select("node", "first"), "node")
-    roots = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = least.join(roots, "root").select("node", "component_id")
-    named = nodes.select("node", "first").join(of, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
+    roots = least.groupBy("root").agg(F.min("first").alias("keeper"))
+    of = least.join(roots, "root").select("node", "keeper")
+    named = nodes.select("node", "first").join(of, "node", "left").select("node", F.coalesce("keeper", "first").alias("keeper"))
+    out = rows.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("keeper.id"))
+    stays = F.col("node").isNull() | (F.col("keeper.id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.h") == F.col("h")))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "node", stays.alias("stays"))

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, and awkward rows."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -106,6 +107,16 @@ def test_near_duplicates_awkward(awkward, empty):
     assert neardup.linked(empty, 2).count() == 0
 
 
+def test_near_duplicates_share_ids(spark):
+    """Rows with one doc_id and several texts, and rows without doc_id, are linked by their own texts."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (7, b), (9, b + " more"), (None, a + " more"), (None, a + " more"), (None, "alone here now"), (None, None)]
+    got = collections.Counter((r.doc_id, r.h, r.component_id, r.kept, r.stays) for r in neardup.linked(spark.createDataFrame(rows, SCHEMA), 2).collect())
+    flat = sorted((str(d), c, k, s, n) for (d, _, c, k, s), n in got.items() if c is not None)
+    assert flat == [("7", 7, True, True, 1), ("7", 7, True, True, 1), ("9", 7, False, False, 1), ("None", 7, False, False, 2)]
+    assert [(k, s) for (_, _, c, k, s) in got if c is None] == [(True, True)] * 2
+
+
 def test_toxicity(spark, awkward, empty):
     rng = random.Random(2)
     texts = []
@@ -262,9 +273,37 @@ def test_quotation_query_equals_sql(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force on the whole smallest table and awkward rows."""
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = [(10**6 + (i or 0), t, None, None, None) for i, t in AWKWARD if i is not None] + [(None, "no id here", None, None, None)]
+    docs = table.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    # Toxicity: what goes scores 0.5 or more; few clean labelled documents go.
+    clean = stages["toxicity"](spark, docs, DATA)
+    assert clean.columns == docs.columns
+    m = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = toxicity.score(docs, m).collect()
+    assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter(r.doc_id for r in scores if r.score < 0.5)
+    # Near copies: one row of each component.
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    single = stages["near copies"](spark, docs, DATA)
+    assert single.columns == docs.columns
+    want = sorted({d for d, _, c in _components([r for r in rows if r[0] is not None], 5, 80) if d == c})
+    assert sorted(r.doc_id for r in single.collect() if r.doc_id is not None) == want
+    assert single.filter("doc_id is null").count() == 1
+    # Mixing: each document once at least, whole permutations, and none more than the limit rounded up.
+    mixed = stages["mixing"](spark, single, DATA)
+    assert mixed.columns == docs.columns
+    drawn = collections.Counter(r.doc_id for r in mixed.collect())
+    assert set(drawn) == {r.doc_id for r in single.select("doc_id").collect()}
+    assert max(drawn.values()) <= math.ceil(corpus_pipeline.REPEATS)
+    # Encoding: as tiktoken, row by row.
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(digests.RANKS), special_tokens={})
+    by = dict(rows)
+    for r in stages["encoding"](spark, mixed, DATA).collect():
+        ids, text = np.array(ref.encode_ordinary(by[r.doc_id] or ""), "<u4"), (by[r.doc_id] or "").encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
     out = corpus_pipeline.run(spark, DATA)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert 0 < out.select("doc_id").distinct().count() <= docs.count()
-    assert out.filter("doc_id is null").count() == 0
+    assert 0 < out.select("doc_id").distinct().count() <= table.count()
