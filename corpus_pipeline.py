@@ -26,11 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked at 0.8 on shingles of five words: that with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Rows that share doc_id and text count as one, of which one stays; rows without doc_id come last in a group.
     """
-    kept = neardup.linked(docs, words=5).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    id_key, text_key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"), F.xxhash64("text").alias("_h")
+    stays = neardup.linked(docs, words=5).filter("stays").select(id_key, F.col("h").alias("_h")).distinct()
+    # The join and the removal of repeated rows share one partitioning.
+    return docs.select("*", id_key, text_key).join(stays, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
