@@ -102,7 +102,7 @@ def identity() -> Column:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h (a hash of the text), n_shingles, node (a digest of the set, null if empty), sig."""
+    """doc_id, h (a hash of the text), n_shingles, node (a digest of the set, null if empty), sig, sketch (the low byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingles(words)
@@ -110,19 +110,21 @@ def described(docs: DataFrame, words: int) -> DataFrame:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 sets = [own(t) for t in texts(part.column(1))]
+                sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()),
+                        pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in sigs], pa.binary()),
                     ],
-                    names=["doc_id", "h", "n_shingles", "node", "sig"],
+                    names=["doc_id", "h", "n_shingles", "node", "sig", "sketch"],
                 )
 
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node binary, sig binary")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node binary, sig binary, sketch binary")
 
 
 def prefixed(nodes: DataFrame, deep: bool) -> DataFrame:
@@ -182,7 +184,7 @@ def rough_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
         out: list[tuple[bytes, bytes]] = []
         for _, held in runs(batches):
             own = [r[1] for r in held]
-            m = np.frombuffer(b"".join([r[2] for r in held]), np.uint32).reshape(-1, MINIMA).astype(np.uint8)
+            m = np.frombuffer(b"".join([r[2] for r in held]), np.uint8).reshape(-1, MINIMA)
             least = int(np.ceil(ROUGH * MINIMA))
             out += [(own[x], own[y]) for x, y in search(len(own), lambda x, o, m=m: o[(m[o] == m[x]).sum(1) >= least])]
             if len(out) > 20_000:
@@ -191,7 +193,7 @@ def rough_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
         if out:
             yield edge_batch(out)
 
-    return rows.join(nodes.select("node", "sig"), "node").select("region", "node", "sig").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
+    return rows.join(nodes.select("node", "sketch"), "node").select("region", "node", "sketch").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
@@ -199,14 +201,15 @@ def groups(nodes: DataFrame) -> DataFrame:
     found = []
     for deep in (False, True):
         trees = prefixed(nodes, deep)
-        sizes = trees.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+        sizes = trees.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         members = materialise(trees.join(sizes, "key"))
         found.append(rough_edges(members.filter(F.col("n") <= REGION).select("key", "node"), nodes))
         large = members.filter(F.col("n") > REGION)
         if large.isEmpty():
             break
         if deep:
-            found.append(large.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+            first = large.groupBy("key").agg(F.min("node").alias("a"))
+            found.append(large.join(first, "key").filter("node != a").select("a", F.col("node").alias("b")))
         else:
             nodes = nodes.join(large.select("node").distinct(), "node", "left_semi")
     edges = found[0]
@@ -289,7 +292,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -
     chunk = chunk or CHUNK
     rows = materialise(described(docs, words))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h"))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
     nodes = materialise(nodes)
     grouped = materialise(groups(nodes).join(nodes.select("node", "first", "size"), "node"))
     weights = grouped.groupBy("root").agg(F.sum("size").alias("weight"))
