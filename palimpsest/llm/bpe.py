@@ -12,6 +12,7 @@ tables; other columns are not looked at. Ids outside the vocabulary raise ValueE
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import os
 from array import array
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import texts
 
 #: Entries at which a worker's cache of encoded pieces starts anew, and characters split at once. Both bound memory only.
-CACHE, BLOCK = 800_000, 1_000_000
+CACHE, BLOCK = 400_000, 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -128,6 +129,8 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
+    """The codec of a task. A worker gets this module anew with each task: the former one goes, with its codec, in a collection."""
+    gc.collect()
     return Codec(path, pattern)
 
 

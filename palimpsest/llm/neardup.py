@@ -56,7 +56,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's shingles. Hashes of seen words are kept, for up to keep words."""
 
-    def __init__(self, words: int, keep: int = 400_000):
+    def __init__(self, words: int, keep: int = 200_000):
         self.words, self.keep, self.seen = words, keep, {}
 
     def __call__(self, text: bytes) -> np.ndarray:

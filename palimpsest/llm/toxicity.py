@@ -17,6 +17,7 @@ or with labels of one class only, the bias is the smoothed log odds and the othe
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,29 +41,24 @@ class Machine:
 
 
 class Terms:
-    """Slots of a text, each once. Slots of seen words are kept, for up to keep words."""
+    """Slots of a text, each once, in order. Slots of seen words are kept packed, for up to keep words."""
 
-    def __init__(self, bits: int, keep: int = 300_000):
+    def __init__(self, bits: int, keep: int = 150_000):
         self.mask, self.keep, self.seen = (1 << bits) - 1, keep, {}
 
+    def pack(self, w: bytes) -> bytes:
+        """The word's slot, and those of its starts of four, five and six bytes."""
+        slots = [zlib.crc32(w), *(zlib.crc32(w[:n], n) for n in (4, 5, 6) if len(w) >= n)]
+        return array("i", [x & self.mask for x in slots]).tobytes()
+
     def __call__(self, text: bytes) -> np.ndarray:
         words, seen = set(text.translate(WORD).split()), self.seen
         if len(seen) > self.keep:
             seen.clear()
-        out: set[int] = set()
         for w in words:
-            got = seen.get(w)
-            if got is None:
-                got = (zlib.crc32(w) & self.mask,)
-                if len(w) >= 4:
-                    got += (zlib.crc32(w[:4], 4) & self.mask,)
-                if len(w) >= 5:
-                    got += (zlib.crc32(w[:5], 5) & self.mask,)
-                if len(w) >= 6:
-                    got += (zlib.crc32(w[:6], 6) & self.mask,)
-                seen[w] = got
-            out.update(got)
-        return np.fromiter(out, dtype=np.int32, count=len(out))
+            if w not in seen:
+                seen[w] = self.pack(w)
+        return np.unique(np.frombuffer(b"".join([seen[w] for w in words]), dtype=np.int32))
 
 
 def margins(m: Machine, rows: list[np.ndarray]) -> np.ndarray:
