@@ -202,7 +202,7 @@ def groups(nodes: DataFrame) -> DataFrame:
     for deep in (False, True):
         trees = prefixed(nodes, deep)
         sizes = trees.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = materialise(trees.join(sizes, "key"))
+        members = materialise(trees.join(sizes.hint("merge"), "key"))  # both sides grow with the input
         found.append(rough_edges(members.filter(F.col("n") <= REGION).select("key", "node"), nodes))
         large = members.filter(F.col("n") > REGION)
         if large.isEmpty():
@@ -297,7 +297,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -
     grouped = materialise(groups(nodes).join(nodes.select("node", "first", "size"), "node"))
     weights = grouped.groupBy("root").agg(F.sum("size").alias("weight"))
     dealt = grouped.join(weights, "root").withColumn("chunks", F.ceil(F.col("weight") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    held = dealt.join(docs.select(identity().alias("first"), F.col("text").cast("string").alias("text")), "first")
+    held = dealt.hint("merge").join(docs.select(identity().alias("first"), F.col("text").cast("string").alias("text")), "first")
     none = F.lit(None).cast("int")
     alone = held.select(F.struct("root", "chunk").alias("run"), none.alias("side"), F.lit(None).cast("binary").alias("part"), "node", "text", "chunks")
     large = weights.filter(F.col("weight") > chunk)
