@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share doc_id and text count as one, of which one stays; rows without doc_id come last in a group.
     """
     id_key, text_key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"), F.xxhash64("text").alias("_h")
-    stays = neardup.linked(docs, words=5).filter("stays").select(id_key, F.col("h").alias("_h")).distinct()
-    # The join and the removal of repeated rows share one partitioning.
+    stays = neardup.linked(docs, words=5).filter("stays").select(id_key, F.col("h").alias("_h")).distinct().hint("merge")
+    # The join and the removal of repeated rows share one partitioning; what stays grows with the input, so it is never broadcast.
     return docs.select("*", id_key, text_key).join(stays, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
 
