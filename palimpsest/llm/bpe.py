@@ -96,8 +96,8 @@ class Codec:
         for (p, _), e in zip(new, self.model.encode_batch_fast([x for _, x in new], add_special_tokens=False), strict=True):
             self.cache[p] = array("I", e.ids).tobytes()
 
-    def encode_many(self, many: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; pieces are learnt for about BLOCK characters together."""
+    def split_many(self, many: list[str]) -> Iterator[list[str]]:
+        """Pieces of each text, all in the cache by then; they are learnt for about BLOCK characters together."""
         at = 0
         while at < len(many):
             if len(self.cache) > CACHE:
@@ -108,9 +108,13 @@ class Codec:
                 size += len(many[at])
                 at += 1
             self.learn(set().union(*split))
-            own = self.cache.__getitem__
-            for pieces in split:
-                yield b"".join(map(own, pieces))
+            yield from split
+
+    def encode_many(self, many: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        own = self.cache.__getitem__
+        for pieces in self.split_many(many):
+            yield b"".join(map(own, pieces))
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Code points [start, end) that each token touches; both tokens of a split character touch it."""

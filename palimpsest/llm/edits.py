@@ -23,31 +23,30 @@ from palimpsest.llm.bpe import Codec, codec
 #: Code points that the pattern may look at beyond a piece's end.
 LOOK = 3
 #: Pieces of a leaf.
-LEAF = 32
+LEAF = 64
 
 
 class PieceTree:
-    """A text's pieces with sums of code points and tokens."""
+    """A text's pieces, in leaves, with sums of code points and tokens."""
 
-    def __init__(self, text: str, own: Codec):
+    def __init__(self, text: str, own: Codec, pieces: list[str] | None = None):
         self.own, self.text, self.encoded = own, text, 0
-        pieces = own.split(text)
-        self._plant([len(p) for p in pieces], self._counts(pieces))
+        self._plant(own.split(text) if pieces is None else pieces)
 
-    def _counts(self, pieces: list[str]) -> list[int]:
-        cache = self.own.cache
+    def _tokens(self, pieces: list[str]) -> int:
+        get = self.own.cache.__getitem__
         try:
-            return [len(cache[p]) >> 2 for p in pieces]
+            return len(b"".join(map(get, pieces))) >> 2
         except KeyError:
             self.own.learn(set(pieces))
-            return [len(cache[p]) >> 2 for p in pieces]
+            return len(b"".join(map(get, pieces))) >> 2
 
-    def _plant(self, lengths: list[int], counts: list[int]) -> None:
-        self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
+    def _plant(self, pieces: list[str]) -> None:
+        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (a, b) in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(a), sum(b)
+        rest = [0] * (self.size - len(self.leaves))
+        self.chars = [0] * self.size + [len("".join(x)) for x in self.leaves] + rest
+        self.tokens = [0] * self.size + [self._tokens(x) for x in self.leaves] + rest
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -68,7 +67,7 @@ class PieceTree:
 
     def _update(self, leaf: int) -> None:
         node = self.size + leaf
-        self.chars[node], self.tokens[node] = sum(self.leaves[leaf][0]), sum(self.leaves[leaf][1])
+        self.chars[node], self.tokens[node] = len("".join(self.leaves[leaf])), self._tokens(self.leaves[leaf])
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -81,10 +80,10 @@ class PieceTree:
         text = self.text[:start] + insert + self.text[stop:]
         # The piece to start from: the last whose start is LOOK code points before the edit, or the first.
         leaf, before = self._leaf_at(max(0, start - LOOK))
-        lengths = self.leaves[leaf][0]
+        pieces = self.leaves[leaf]
         k, at = 0, before
-        while k < len(lengths) and at + lengths[k] + LOOK <= start:
-            at += lengths[k]
+        while k < len(pieces) and at + len(pieces[k]) + LOOK <= start:
+            at += len(pieces[k])
             k += 1
         first_leaf, first_piece, begin = leaf, k, at
         # New pieces until one starts where an old one did, behind the edit.
@@ -92,7 +91,7 @@ class PieceTree:
         new: list[str] = []
         window, upto = "", begin
         done = False
-        reach = 256
+        reach = 64
         while not done:
             window = text[begin : stop + shift + reach]
             whole = begin + len(window) >= len(text)
@@ -106,10 +105,10 @@ class PieceTree:
                 if upto >= stop + shift:
                     target = upto - shift
                     while old_at < target and old_leaf < len(self.leaves):
-                        if old_piece == len(self.leaves[old_leaf][0]):
+                        if old_piece == len(self.leaves[old_leaf]):
                             old_leaf, old_piece = old_leaf + 1, 0
                             continue
-                        old_at += self.leaves[old_leaf][0][old_piece]
+                        old_at += len(self.leaves[old_leaf][old_piece])
                         old_piece += 1
                     if old_at == target:
                         done = True
@@ -117,28 +116,24 @@ class PieceTree:
             if whole and not done:  # an empty rest
                 old_leaf, old_piece, done = len(self.leaves), 0, True
             reach *= 8
-        counts = self._counts(new)
         self.encoded += len(new)
         self.text = text
-        head = self.leaves[first_leaf]
-        rest = self.leaves[old_leaf] if old_leaf < len(self.leaves) else ([], [])
-        a = head[0][:first_piece] + [len(p) for p in new]
-        b = head[1][:first_piece] + counts
+        rest = self.leaves[old_leaf][old_piece:] if old_leaf < len(self.leaves) else []
+        grown = self.leaves[first_leaf][:first_piece] + new
         if old_leaf == first_leaf:
-            a, b = a + rest[0][old_piece:], b + rest[1][old_piece:]
-            self.leaves[first_leaf] = (a, b)
-            self._update(first_leaf)
+            grown += rest
         else:
-            self.leaves[first_leaf] = (a, b)
-            self._update(first_leaf)
             for i in range(first_leaf + 1, min(old_leaf, len(self.leaves))):
-                self.leaves[i] = ([], [])
+                self.leaves[i] = []
                 self._update(i)
             if old_leaf < len(self.leaves):
-                self.leaves[old_leaf] = (rest[0][old_piece:], rest[1][old_piece:])
+                self.leaves[old_leaf] = rest
                 self._update(old_leaf)
-        if len(a) > 8 * LEAF:  # a leaf that has grown
-            self._plant([x for l, _ in self.leaves for x in l], [x for _, c in self.leaves for x in c])
+        self.leaves[first_leaf] = grown
+        if len(grown) > 8 * LEAF:
+            self._plant([p for x in self.leaves for p in x])
+        else:
+            self._update(first_leaf)
 
 
 def count(docs: DataFrame, path: str, pattern: str, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +149,12 @@ def count(docs: DataFrame, path: str, pattern: str, edits_col: str = "edits", id
             for i in range(0, b.num_rows, 500):
                 part, rows = b.slice(i, 500), []
                 many = [t or "" for t in part.column(1).to_pylist()]
-                for _ in own.encode_many(many):
-                    pass  # learns the pieces together
-                for t, edits in zip(many, part.column(2).to_pylist(), strict=True):
-                    tree = PieceTree(t, own)
-                    n, pieces = tree.total, sum(len(x) for x, _ in tree.leaves)
+                for t, edits, pieces in zip(many, part.column(2).to_pylist(), own.split_many(many), strict=True):
+                    tree = PieceTree(t, own, pieces)
+                    n = tree.total
                     for e in edits or []:
                         tree.edit(e["start"] or 0, e["drop"] or 0, e["insert"] or "")
-                    rows.append((pieces, n, len(edits or []), tree.total, tree.encoded, len(tree.text)))
+                    rows.append((len(pieces), n, len(edits or []), tree.total, tree.encoded, len(tree.text)))
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=names)
 

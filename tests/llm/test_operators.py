@@ -49,7 +49,9 @@ def test_bpe_equals_tiktoken(awkward, empty):
     assert bpe.round_trip(empty, digests.RANKS, P.PATTERN).count() == 0
 
 
-def test_edit_counts(awkward, empty):
+@pytest.mark.parametrize("leaf", [2, 64])
+def test_edit_counts(awkward, empty, leaf, monkeypatch):
+    monkeypatch.setattr(edits, "LEAF", leaf)
     own = bpe.codec(digests.RANKS, P.PATTERN)
     rng, alpha = random.Random(3), ["a", "b", "'", "r", "e", "s", " ", "  ", "\n", "1", "é", "!", "the", "'re"]
     for _ in range(400):
