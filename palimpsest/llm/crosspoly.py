@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Each table turns a unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and
-assigns it to the nearest signed axis. A query probes the axes of its largest signed coordinates in each table; the
-union of what it finds is ranked by the exact inner product of the original vectors, in double precision. Vectors of
-different lengths get one more coordinate, so that the nearest direction is the largest inner product.
+assigns it to the nearest signed axis. A query probes the axes of its largest signed coordinates in each table, more of
+them until it has k candidates, in the end the whole shard. The k-th best score so far then says which cosine a vector of
+each length needs to enter, and depths() how many axes find such a cosine in this dimension: long vectors are probed
+deeper, and those too short to enter aren't looked at. What is found is ranked by the exact inner product of the
+original vectors, in double precision.
 
 The rows are dealt to shards of about SHARD vectors by a hash of vec_id and queries to blocks; each shard holds its own
 tables of every one of its rows, every block meets every shard, and a shard's best k meet in one last sort. A vector that a
@@ -11,7 +13,7 @@ third of all rows share is thus spread over all shards.
 
 Edge cases: vectors that are null or zero, hold a null, a NaN or an infinity, or whose length isn't the commonest one
 take no part, nor do rows with a null vec_id; ties go to the smaller vec_id; of rows with one vec_id each is a candidate (but
-not of queries with that vec_id); fewer than k candidates give as many rows as are found; empty tables give empty tables.
+not of queries with that vec_id); fewer than k other vectors give as many rows as there are; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, QUERIES = 4096, 4096
+#: Share of vectors that may be missed at the cosine of the k-th best; steps of the cosine.
+MISS, STEPS = 0.01, 50
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,26 +51,48 @@ def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return np.concatenate([out, -out], axis=1)
 
 
-def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, tables: int, probes: int, longest: float, level: bool, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def depths(width: int, tables: int, seed: int = 11) -> np.ndarray:
+    """How many axes to probe for a cosine of -1, -1 + 1 / STEPS, ... 1, so that one of the tables finds it but MISS times."""
+    width = 1 << max(1, (width - 1).bit_length())
+    rng, n = np.random.default_rng((seed, width)), max(200, min(2000, 2**18 // width))
+    q, noise = rng.standard_normal((2, n, width))
+    out = []
+    for c in np.arange(-STEPS, STEPS + 1) / STEPS:
+        x = c * q + math.sqrt(1 - c * c) * noise
+        at = np.abs(x).argmax(1)[:, None]
+        seen = (np.take_along_axis(q, at, 1) * np.sign(np.take_along_axis(x, at, 1)))[:, 0]
+        rank = (q > seen[:, None]).sum(1) + (-q > seen[:, None]).sum(1)
+        out.append(np.quantile(rank, 1 - MISS ** (1 / tables), method="higher") + 1)
+    return np.maximum.accumulate(np.array(out)[::-1])[::-1]
+
+
+def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, tables: int, probes: int, depth: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, id, score: the best k of one shard for each query."""
-    unit, ask = vectors / longest, queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    if not level:
-        unit = np.concatenate([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1, keepdims=True)))], axis=1)
-        ask = np.concatenate([ask, np.zeros((len(ask), 1))], axis=1)
-    found = np.zeros((len(ask), len(unit)), bool)
+    lengths, asked = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    unit, ask = vectors / lengths[:, None], queries / asked[:, None]
+    first = None  # the least place of each vector's axis among a query's axes, over all tables
     for t in range(tables):
         bucket = rotated(unit, t, seed).argmax(1)
         axes = rotated(ask, t, seed)
-        probed = np.zeros(axes.shape, bool)
-        np.put_along_axis(probed, np.argpartition(-axes, min(probes, axes.shape[1]) - 1, axis=1)[:, :probes], True, axis=1)
-        found |= probed[:, bucket]
+        place = np.empty(axes.shape, np.min_scalar_type(axes.shape[1]))
+        np.put_along_axis(place, np.argsort(-axes, axis=1), np.arange(axes.shape[1], dtype=place.dtype)[None], axis=1)
+        place = place[:, bucket]
+        first = place if first is None else np.minimum(first, place, out=first)
     out: list[tuple] = []
     for i in range(len(ask)):
-        at = np.flatnonzero(found[i])
-        at = at[ids[at] != query_ids[i]]
-        if not at.size:
+        near, other = first[i], ids != query_ids[i]
+        rest = near[other]
+        if not rest.size:
             continue
+        enough = probes if rest.size <= k else max(probes, int(np.partition(rest, k - 1)[k - 1]) + 1)
+        looked = other if rest.size <= k else other & (near < enough)
+        at = np.flatnonzero(looked)
         s = (vectors[at] * queries[i]).sum(1)
+        if rest.size > k:
+            cosine = np.partition(s, at.size - k)[at.size - k] / (asked[i] * lengths)
+            deep = depth[np.floor((np.clip(cosine, -1, 1) + 1) * STEPS).astype(int)]
+            more = np.flatnonzero(other & ~looked & (near < deep) & (cosine <= 1 + 1e-9))
+            at, s = np.concatenate([at, more]), np.concatenate([s, (vectors[more] * queries[i]).sum(1)])
         if at.size > k:
             keep = s >= np.partition(s, at.size - k)[at.size - k]  # with all ties
             at, s = at[keep], s[keep]
@@ -78,7 +104,7 @@ def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
+    """query_id, rank, vec_id, score: the k nearest rows found for each query row. probes is the least number of axes a table."""
     v = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     base = rows.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -87,10 +113,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, pro
     if not width:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base = base.filter(F.size("v") == width[0]["w"])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    head = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked"), F.max(norm).alias("most"), F.min(norm).alias("least")).first()
+    head = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
     shards, blocks = max(1, math.ceil(head["n"] / SHARD)), max(1, math.ceil(head["asked"] / QUERIES))
-    longest, level = float(head["most"]), head["least"] >= 0.999 * head["most"]
+    depth = depths(width[0]["w"], tables)
     deal = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("long")
     held = base.withColumn("shard", deal(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("shard", "block", "id", "v")
     asked = base.filter("q").select("id", "v").distinct().withColumn("block", deal(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", "block", "id", "v")
@@ -101,7 +126,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, pro
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         cols: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if a.num_rows and b.num_rows:
-            cols = nearest(matrix(a), a.column("id").to_numpy(), matrix(b), b.column("id").to_numpy(), k, tables, probes, longest, level)
+            cols = nearest(matrix(a), a.column("id").to_numpy(), matrix(b), b.column("id").to_numpy(), k, tables, probes, depth)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
     best = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, schema)

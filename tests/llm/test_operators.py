@@ -228,6 +228,21 @@ def test_nearest(spark):
     assert crosspoly.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "sigma", "longer"), [(64, 0.0, 1), (64, 0.3, 1), (64, 1.0, 1), (64, 0.0, 10), (128, 0.0, 1), (256, 0.1, 1)])
+def test_nearest_of_uneven_lengths(dim, sigma, longer):
+    """Recall of one shard by brute force; every query finds k."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((3000, dim))
+    v *= np.exp(sigma * rng.standard_normal((3000, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] *= longer
+    q, _, s = crosspoly.nearest(v, np.arange(3000), v[:100], np.arange(100), 20, 10, 12, crosspoly.depths(dim, 10))
+    exact = v[:100] @ v.T
+    np.fill_diagonal(exact, -np.inf)
+    least = np.sort(exact, axis=1)[:, -20] - 1e-9
+    assert np.bincount(q, minlength=100).tolist() == [20] * 100
+    assert (s >= least[q]).mean() >= 0.97
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i < 80 else "b" if i < 95 else None, "x" * 40) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
