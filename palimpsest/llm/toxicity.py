@@ -89,17 +89,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, k: int = 4,
     keep = (a + b >= least) & (z >= clear)
     rows = [r[keep[r]] for r in rows]
     rng = np.random.default_rng(seed)
-    m.factors = (rng.standard_normal((1 << bits, k)) * 0.01).astype(np.float32)
+    m.factors = np.where(keep[:, None], rng.standard_normal((1 << bits, k)) * 0.01, 0).astype(np.float32)
     gw, gv, gb = np.full(1 << bits, 1e-2, np.float32), np.full((1 << bits, k), 1e-2, np.float32), 1e-2
     for _ in range(max(epochs, -(-600 * batch // len(rows)))):  # 600 steps at least
         deal = rng.permutation(len(rows))
         for i in range(0, len(deal), batch):
-            pick = [j for j in deal[i : i + batch] if len(rows[j])]
-            if not pick:
-                continue
+            pick = deal[i : i + batch]
             own, y = [rows[j] for j in pick], labels[pick]
             error = 1 / (1 + np.exp(-np.clip(margins(m, own), -30, 30))) - y
             error *= np.where(y > 0, cost, 1.0)
+            step = float(error.sum())  # rows without kept slots move the bias too
+            gb += step**2
+            m.bias -= rate * step / gb**0.5
+            full = np.array([len(r) > 0 for r in own])
+            if not full.any():
+                continue
+            own, error = [r for r in own if len(r)], error[full]
             sizes = np.array([len(r) for r in own])
             at, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
             v = m.factors[at]
@@ -115,8 +120,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, k: int = 4,
             gv[slots] += dv**2
             m.weights[slots] -= rate * dw / np.sqrt(gw[slots])
             m.factors[slots] -= 0.05 * rate * dv / np.sqrt(gv[slots])
-            gb += float(error.sum()) ** 2
-            m.bias -= rate * float(error.sum()) / gb**0.5
     return m
 
 

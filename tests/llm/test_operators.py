@@ -135,6 +135,18 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_long_texts():
+    """Terms that training has not kept don't count, however many a text has."""
+    rng = np.random.default_rng(3)
+    bad = [np.array([1, 2, *rng.choice(np.arange(10, 1000), 20, replace=False)], np.int32) for _ in range(100)]
+    good = [rng.choice(np.arange(10, 1000), 22, replace=False).astype(np.int32) for _ in range(400)]
+    m = toxicity.fit([np.sort(r) for r in bad + good], np.array([1.0] * 100 + [0.0] * 400))
+    long = np.arange(1000, 200_000, dtype=np.int32)
+    z = toxicity.margins(m, [long, np.concatenate([[1, 2], long]).astype(np.int32), np.array([1, 2], np.int32)])
+    assert math.isclose(z[0], m.bias, abs_tol=1e-6) and z[0] < 0
+    assert math.isclose(z[1], z[2], abs_tol=1e-4) and z[1] > 0
+
+
 def test_interactions():
     """A pair of terms can count though neither does alone."""
     rows = [np.array(x, np.int32) for x in ([1], [2], [1, 2], [3])] * 100
