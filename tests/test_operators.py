@@ -1,8 +1,11 @@
 """Small exact cases of the operators."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import registry
 from palimpsest.functions import codecs
 from palimpsest.operators import access, diff, graph, manifest, refs
 from palimpsest.sources import json_table, point, tree
@@ -98,3 +101,11 @@ def test_codecs():
     assert sum(codecs.chunk_lengths(data)) == len(data)
     assert max(codecs.chunk_lengths(data)) <= codecs.LARGEST
     assert codecs.chunk_lengths(b"") == []
+
+
+def test_case_fold_of_whole_texts(spark, tmp_path):
+    """Every word is folded, not the first one only."""
+    texts = ["One STRASSE Straße", "a ﬁne Cafe\u0301 İ", " ", "", None, "x\nÀ\tΣΑΣ " * 2000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.folded for r in registry.QUERIES["case_fold_full"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFC", t.casefold()) for i, t in enumerate(texts)}
