@@ -292,6 +292,17 @@ def test_quotes(spark):
     assert pick(3, 0) == (0, 0, None, None, "")
 
 
+def test_quotation_query_keeps_rows(spark, tmp_path):
+    """Rows that share a key, or have none, are messages of their own."""
+    rows = [(1, 0, "first"), (1, 1, "x"), (1, 1, "y\n> nowhere\nz"), (1, 1, "x"), (1, 2, "last"), (None, None, "p"), (None, None, "q"), (1, None, "r"), (1, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = collections.Counter((r.conv_id, r.turn, r.n_quotes, r.n_linked, r.reply_turn, r.clean_sha256) for r in queries.QUERIES["op1_quotation_links"](spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 0, 0, 0, None, sha("first")), *[(1, 1, 1, 1, 0, sha("x"))] * 2, (1, 1, 2, 1, 0, sha("y\nz")), (1, 2, 2, 2, 1, sha("last"))]
+    want += [(None, None, 0, 0, None, sha("p")), (None, None, 0, 0, None, sha("q")), (1, None, 0, 0, None, sha("r")), (1, None, 0, 0, None, sha(""))]
+    assert got == collections.Counter(want)
+
+
 def test_quotation_query_equals_sql(spark):
     df = queries.QUERIES["op1_quotation_links"](spark, DATA)
     c = duckdb.connect()
