@@ -1,18 +1,18 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates, in DataFrame functions only.
 
-Blocks are the lines of a text as sets of words. A template is a set of words; a block matches where it holds at least
-the threshold of the template's words (containment). Template words are ordered by their frequency in the whole corpus,
-rarest first, and three exact filters spare most comparisons:
-  prefix: with |T| words of which `need` must occur, one of the first |T| - need + 1 must occur;
-  length: the block has at least `need` words;
-  position: from the first common word on, both sides have at least `need` words left in the common order.
-Templates are few and fixed, so they are literals of the plan; no row is shuffled but the counts of template words.
+Blocks are windows of consecutive words, SPREAD times as long as the template, wherever lines break. A template is a set
+of words; a block matches where it holds at least the threshold of the template's words (containment). Template words
+are ordered by their frequency in the whole corpus, rarest first, and three exact filters spare most comparisons:
+  prefix: with |T| words of which `need` must occur, one of the first |T| - need + 1 must occur in the text;
+  length: the text has at least `need` of the template's words;
+  position: of the template's words in the text, that `need` - 1 places after a block's first one lies in the block.
+Blocks that overlap are one match, with the best containment of them. Templates are few and fixed, so they are literals of the plan; no row is shuffled but the counts of template words.
 
 Words are runs of characters other than ASCII without letters and digits; only A-Z are lower-cased. Besides, phrases
 are found by place: consecutive words anywhere in the text.
 
 Edge cases: null and empty texts have no words, no labels (an empty string) and score 0; a text of one very long line
-is one block; repeated rows are scanned each; empty tables give empty tables; other columns are not looked at.
+has the same blocks as if it had many; repeated rows are scanned each; empty tables give empty tables; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
+#: Words of a block for each word of the template: a statement may have as many other words in it as its own.
+SPREAD = 2
 #: Java's form of a run of characters that are in no word, before lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -68,7 +70,7 @@ def frequencies(docs: DataFrame, templates: dict[str, str], text_col: str = "tex
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    blocks: array of (line, label, containment) of each match. score: the best containment, 1 for a phrase.
+    blocks: array of (word, label, containment) of each match; word is the place of its first word in the text. score: the best containment, 1 for a phrase.
     """
     freq = frequencies(docs, templates, text_col)
     order = sorted(freq, key=lambda w: (freq[w], w))
@@ -77,8 +79,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     for t, label in templates.items():
         own = sorted(set(t.split()), key=rank.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
-        prepared.append((label, own, own[: len(own) - need + 1], need))
-    rare = sorted({w for _, _, prefix, _ in prepared for w in prefix}, key=rank.__getitem__)
+        prepared.append((label, own, own[: len(own) - need + 1], need, SPREAD * len(t.split())))
+    rare = sorted({w for _, _, prefix, _, _ in prepared for w in prefix}, key=rank.__getitem__)
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).withColumn("_norm", normal(F.col("_text")))
     norm = F.col("_norm")
@@ -97,27 +99,43 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     starts = F.flatten(F.col("_places"))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.col("_places")[i]) > 0, F.lit(label)) for i, label in enumerate(phrases.values())]))))
 
-    # Blocks of rows that hold a prefix word; of these, only lines that hold one.
-    lines = F.transform(F.split(F.col("_text"), "\n"), lambda line, i: F.struct(i.alias("line"), F.array_remove(F.array_distinct(F.split(normal(line), " ")), "").alias("words")))
-    blocks = F.filter(lines, lambda b: F.arrays_overlap(b["words"], strings(rare)))
-    table = F.array(*[F.struct(F.lit(label).alias("label"), strings(own).alias("own"), strings(prefix).alias("prefix"), F.lit(need).alias("need")) for label, own, prefix, need in prepared])
-
-    def compare(b: Column) -> Column:
-        sorted_block = F.array_intersect(strings(order), b["words"])
-        return F.transform(
-            F.filter(
-                table,
-                lambda t: (F.size(b["words"]) >= t["need"])
-                & F.arrays_overlap(t["prefix"], b["words"])
-                & (F.size(sorted_block) - F.array_position(sorted_block, F.array_intersect(t["prefix"], b["words"])[0]) + 1 >= t["need"])
-                & (F.size(F.array_intersect(t["own"], b["words"])) >= t["need"]),
-            ),
-            lambda t: F.struct(b["line"].cast("long").alias("line"), t["label"].alias("label"), (F.size(F.array_intersect(t["own"], b["words"])) / F.size(t["own"])).alias("containment")),
-        )
+    words = F.split(F.trim(norm), " ")
+    none = F.array().cast("array<struct<word:bigint,label:string,containment:double>>")
+
+    def matches(label: str, own: list[str], prefix: list[str], need: int, width: int) -> Column:
+        """Of one template: blocks begin at its words in the text."""
+        known = strings(own)
+        hit = lambda ws: F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(known, x["w"]))
+
+        def block(hits: Column, j: Column) -> Column:
+            near = F.filter(F.slice(hits, j + 1, F.lit(width)), lambda x: x["at"] < hits[j]["at"] + width)
+            held = F.size(F.array_distinct(F.transform(near, lambda x: x["w"])))
+            return F.struct(hits[j]["at"].cast("long").alias("word"), F.lit(label).alias("label"), (held / F.lit(len(own))).alias("containment"))
+
+        def blocks(hits: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda j: hits[j + (need - 1)]["at"] < hits[j]["at"] + width)
+            return F.filter(F.transform(begins, lambda j: block(hits, j)), lambda m: m["containment"] * len(own) > need - 0.5)
+
+        def joined(all_: Column) -> Column:
+            """The first of each run of overlapping blocks, with the run's best containment."""
+            first = F.filter(F.transform(all_, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["m"]["word"] >= F.get(all_, x["i"] - 1)["word"] + width))
+            begin = F.transform(first, lambda x: x["i"])
+            return F.transform(
+                begin,
+                lambda i, n: F.struct(
+                    all_[i]["word"].alias("word"), F.lit(label).alias("label"),
+                    F.array_max(F.transform(F.slice(all_, i + 1, F.coalesce(F.get(begin, n + 1), F.size(all_)) - i), lambda m: m["containment"])).alias("containment"),
+                ),
+            )
+
+        # Each step is bound once, so that inner functions don't compute it again.
+        bound = lambda value, f: F.transform(F.array(value), f)[0]
+        all_blocks = bound(hit(words), lambda hits: F.when(F.size(hits) >= need, blocks(hits)).otherwise(none))
+        there = sum((norm.contains(f" {w} ").cast("int") for w in own[1:]), norm.contains(f" {own[0]} ").cast("int"))
+        return F.when(_any([norm.contains(f" {w} ") for w in prefix]) & (there >= need), bound(all_blocks, joined)).otherwise(none)
 
     holds = _any([norm.contains(f" {w} ") for w in rare])
-    none = F.array().cast("array<struct<line:bigint,label:string,containment:double>>")
-    rows = rows.withColumn("_found", F.when(holds, F.flatten(F.transform(blocks, compare))).otherwise(none))
+    rows = rows.withColumn("_found", F.when(holds, F.concat(*[matches(*t) for t in prepared]) if prepared else none).otherwise(none))
     found = F.col("_found")
     labels = F.array_sort(F.array_union(base, F.transform(found, lambda m: m["label"])))
     score = F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(found, lambda m: m["containment"])), F.lit(0.0)))

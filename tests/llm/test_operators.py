@@ -189,6 +189,30 @@ def test_licences(spark, awkward, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_across_lines(spark):
+    """Wrapped statements are found, scattered words of one long line aren't; against brute force over all windows."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    far = " ".join(["released", *["x"] * 30, "under", *["y"] * 30, "the", *["z"] * 30, "license"])
+    rng, some = random.Random(6), "released under the mit license public domain software into all rights reserved a".split()
+    rows = [(1, bsd), (2, far), (3, "This work is licensed under a\nCreative Commons\nAttribution 4.0\nInternational License"), (4, bsd + "\nx" * 60 + "\n" + bsd), (5, "released under the terms of the MIT license")]
+    rows += [(10 + i, "".join(rng.choice(some) + rng.choice([" ", "\n", " q "]) for _ in range(rng.randrange(60)))) for i in range(150)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, SCHEMA), phrases={"no such phrase": "none"}).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 5)] == ["bsd", "", "cc-by", "mit"] and [b.label for b in got[4].blocks] == ["bsd"] * 2
+    for i, text in rows:
+        words, want = "".join(c if c.isalnum() else " " for c in text.lower()).split(), []
+        for t, label in licences.TEMPLATES.items():
+            own, width, last = set(t.split()), 2 * len(t.split()), None
+            for j, w in enumerate(words):
+                part = len(own & set(words[j : j + width])) / len(own)
+                if w in own and part >= 0.8:
+                    if last is not None and j < last + width:
+                        want[-1] = (want[-1][0], label, max(part, want[-1][2]))
+                    else:
+                        want.append((j, label, part))
+                    last = j
+        assert [tuple(b) for b in got[i].blocks] == want
+
+
 def test_spots(spark, awkward, empty):
     rows = spark.createDataFrame([r for r in AWKWARD], SCHEMA).collect()
     got = spots.compare_with_next(awkward.select("doc_id", "text")).collect()
