@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.graph import reach
 from palimpsest.operators.manifest import prefixes
 
 
@@ -45,8 +46,10 @@ def with_policy(df: DataFrame, policies: DataFrame, path: str = "path") -> DataF
 def with_policy_theta(df: DataFrame, policies: DataFrame, path: str = "path") -> DataFrame:
     """The same by comparing each path with every policy (for few policies)."""
     p = policies.select(F.col("prefix").alias("_prefix"), F.col("domains").alias("_domains"))
-    on = (F.col(path) == F.col("_prefix")) | F.col(path).startswith(F.concat("_prefix", F.lit("/")))
-    return df.join(p, on, "left").groupBy(*df.columns).agg(F.coalesce(F.max_by("_domains", F.length("_prefix")), public()).alias("domains"))
+    each = df.select(F.col(path).alias("_path")).distinct()  # rows of df that repeat stay
+    on = (F.col("_path") == F.col("_prefix")) | F.col("_path").startswith(F.concat("_prefix", F.lit("/")))
+    best = each.join(p, on).groupBy("_path").agg(F.max_by("_domains", F.length("_prefix")).alias("_best"))
+    return df.join(best, F.col(path) == F.col("_path"), "left").withColumn("domains", F.coalesce("_best", public())).drop("_path", "_best")
 
 
 def counts_by_actor(df: DataFrame, actors: DataFrame, policy: str = "domains") -> DataFrame:
@@ -83,13 +86,28 @@ def allowed_principals(grants: DataFrame, denials: DataFrame) -> DataFrame:
     return grants.select("principal", "capability").distinct().join(denials.select("principal", "capability"), ["principal", "capability"], "left_anti")
 
 
-def members(direct: DataFrame, max_depth: int = 32) -> DataFrame:
-    """group, principal: memberships through nested groups. direct: group, member."""
-    out = direct.select("group", F.col("member").alias("principal")).distinct()
-    for _ in range(max_depth):
-        more = out.join(direct.select(F.col("group").alias("principal"), F.col("member").alias("next")), "principal").select("group", F.col("next").alias("principal"))
-        new = more.distinct().join(out, ["group", "principal"], "left_anti")
-        if new.isEmpty():
-            break
-        out = out.unionByName(new)
+def members(direct: DataFrame) -> DataFrame:
+    """group, principal: memberships through nested groups, however deep. direct: group, member."""
+    return reach(direct, "group", "member").select("group", F.col("member").alias("principal"))
+
+
+def present_policies(line: Column, incoming: Column, base: Column) -> Column:
+    """The distinct policies of the sides that are there, in this order."""
+    return F.array_distinct(F.array_compact(F.array(line, incoming, base)))
+
+
+#: What a merge preview checks, in order; a refusal tells nothing else.
+PREVIEW = ("refused", "no_snapshot", "other_line", "unavailable")
+
+
+def preview_answer(line_and_change: Column, has_snapshot: Column, same_line: Column, sources: Column, conflicts: Column) -> Column:
+    """refused, no_snapshot, other_line or unavailable, by the first check that fails, else clean or conflicts."""
+    out = F.when(conflicts == 0, "clean").otherwise("conflicts")
+    for name, ok in reversed(list(zip(PREVIEW, (line_and_change, has_snapshot, same_line, sources), strict=True))):
+        out = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(out)
     return out
+
+
+def unless_refused(answer: Column, detail: Column) -> Column:
+    """A detail, which a refused request must not see."""
+    return F.when(answer != "refused", detail)

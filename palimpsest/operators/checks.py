@@ -20,6 +20,12 @@ def sorted_unique(values: Column) -> Column:
     return values == F.array_sort(F.array_distinct(values))
 
 
+def unsorted_groups(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """group, ok: whether a group's values, in the order of another column, are strictly ascending."""
+    before = F.lag(value).over(Window.partitionBy(group).orderBy(order))
+    return df.select(group, F.coalesce(F.col(value) > before, before.isNull()).alias("_ok")).groupBy(group).agg(F.bool_and("_ok").alias("ok"))
+
+
 def not_one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """side, value of what maps to more than one."""
     f = pairs.groupBy(F.col(a).alias("value")).agg(F.count_distinct(b).alias("n")).filter("n > 1").select(F.lit("left").alias("side"), F.col("value").cast("string").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.access import can_access
+from palimpsest.operators.manifest import collisions
 
 
 def _sides(named: dict[str, DataFrame], key: str, value: list[str]) -> DataFrame:
@@ -26,6 +27,41 @@ def duplicates(df: DataFrame, key: str = "path") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def input_problems(sides: dict[str, DataFrame], key: str = "path") -> DataFrame:
+    """side, problem, path of what a diff or a merge must refuse: repeated paths and portable collisions within a side."""
+    out = None
+    for name, df in sides.items():
+        twice = duplicates(df, key).select(F.lit(name).alias("side"), F.lit("duplicate").alias("problem"), F.col(key).alias("path"))
+        clash = collisions(df, key).select(F.lit(name).alias("side"), F.lit("collision").alias("problem"), F.col("first_path").alias("path"))
+        out = twice.unionByName(clash) if out is None else out.unionByName(twice).unionByName(clash)
+    return out
+
+
+def checked_merge(base: DataFrame, line: DataFrame, incoming: DataFrame, key: str = "path", same: list[str] | None = None) -> DataFrame:
+    """merge(), which refuses repeated paths and portable collisions in a side or in what it keeps."""
+    plan = merge(base, line, incoming, key, same)
+    bad = input_problems({"base": base, "line": line, "incoming": incoming, "merged": merged_rows(plan, key)}, key)
+    if (found := bad.limit(1).collect()):
+        raise ValueError(f"{found[0]['problem']} in {found[0]['side']}")
+    return plan
+
+
+def refreshed_conflicts(stored: DataFrame, found: DataFrame, match: list[str], kept: list[str], fresh: list[str]) -> DataFrame:
+    """The rows of stored conflicts after found ones are written: the same unresolved conflict (null-safe on match) keeps
+    the columns of kept and takes those of fresh; others are inserted. action: keep, refresh or insert."""
+    s = stored.select(*[F.col(c).alias(f"_s{c}") for c in [*match, *kept, *fresh, "status"]], F.lit(True).alias("_stored"))
+    f = found.select(*[F.col(c).alias(f"_f{c}") for c in [*match, *kept, *fresh]], F.lit(True).alias("_found"))
+    on = F.col("_sstatus") == "unresolved"
+    for c in match:
+        on = on & F.col(f"_s{c}").eqNullSafe(F.col(f"_f{c}"))
+    both = s.join(f, on, "full")
+    action = F.when(F.col("_stored").isNull(), "insert").when(F.col("_found").isNull(), "keep").otherwise("refresh")
+    old, new = F.col("_stored").isNotNull(), F.col("_found").isNotNull()
+    cols = [F.when(old, F.col(f"_s{c}")).otherwise(F.col(f"_f{c}")).alias(c) for c in [*match, *kept]]
+    cols += [F.when(new, F.col(f"_f{c}")).otherwise(F.col(f"_s{c}")).alias(c) for c in fresh]
+    return both.select(*cols, action.alias("action"))
+
+
 def diff(before: DataFrame, after: DataFrame, key: str = "path", same: list[str] | None = None) -> DataFrame:
     """path, status: added, modified or deleted. same: the columns whose equality means unchanged."""
     both = _sides({"a": before, "b": after}, key, same or ["hash"])

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from palimpsest.plans import cut
 
 
-def generations(nodes: DataFrame, edges: DataFrame, rounds: int = 100_000) -> DataFrame:
+def generations(nodes: DataFrame, edges: DataFrame, rounds: int = 100_000, strict: bool = True) -> DataFrame:
     """node, generation: the longest path from a root. edges: node, parent.
 
     Kahn's rounds: a node is placed one round after the last of its parents, so its round is its generation. Each round
-    joins what was placed with the edges out of it and counts parents placed; nodes on or behind cycles are absent.
+    joins what was placed with the edges out of it and counts parents placed. Nodes on or behind cycles, or behind
+    missing parents, are an error, or absent if not strict.
     """
-    edges = edges.select("node", "parent").distinct()
+    edges = cut(edges.select("node", "parent").distinct().repartition("parent"))  # every round joins by parent
     waiting = cut(edges.groupBy("node").agg(F.count(F.lit(1)).alias("left")))
     placed = nodes.select("node").distinct().join(waiting, "node", "left_anti").select("node", F.lit(0).cast("long").alias("generation"))
     out = layer = cut(placed)
@@ -28,6 +29,8 @@ def generations(nodes: DataFrame, edges: DataFrame, rounds: int = 100_000) -> Da
         waiting = cut(waiting.join(met, "node", "left").select("node", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")))
         layer = waiting.filter("left = 0").select("node", F.lit(n).cast("long").alias("generation"))
         if layer.isEmpty():
+            if strict and not waiting.isEmpty():
+                raise ValueError("a cycle or a missing parent")
             return out
         waiting = waiting.filter("left > 0")
         out = out.unionByName(layer)
@@ -55,7 +58,7 @@ def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = g.groupBy("generation").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("generation").orderBy("node"))
-    return g.join(F.broadcast(before), "generation").select("node", (F.col("before") + rank - 1).cast("long").alias("position"))
+    return g.join(before, "generation").select("node", (F.col("before") + rank - 1).cast("long").alias("position"))
 
 
 def topological_exact(nodes: DataFrame, edges: DataFrame, graph: str = "graph") -> DataFrame:
@@ -110,8 +113,9 @@ def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     """root, object: what each root reaches, itself included. edges: source, target."""
     out = roots.select(F.col("object").alias("root"), "object").distinct()
     layer = out
+    links = cut(edges.select(F.col("source").alias("object"), "target").distinct().repartition("object"))  # every round joins by it
     for _ in range(rounds):
-        step = layer.join(edges.select(F.col("source").alias("object"), "target"), "object").select("root", F.col("target").alias("object")).distinct()
+        step = layer.join(links, "object").select("root", F.col("target").alias("object")).distinct()
         layer = cut(step.join(out, ["root", "object"], "left_anti"))
         if layer.isEmpty():
             return out
@@ -119,6 +123,23 @@ def closure(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     raise ValueError("the closure is deeper than the rounds allow")
 
 
+def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, problem: what keeps a graph from having an order: duplicate nodes, missing parents, members of cycles."""
+    twice = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.lit("duplicate").alias("problem"))
+    lost = missing_parents(nodes, edges).select("node", F.lit("missing_parent").alias("problem")).distinct()
+    return twice.unionByName(lost).unionByName(cycle_members(edges).withColumn("problem", F.lit("cycle")))
+
+
+def checked_closure(roots: DataFrame, edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """root, status: ok if all that a root reaches is present and of the kind expected, else the worst of missing,
+    quarantined, promised and wrong_kind. Nothing is followed behind what fails."""
+    met = cut(edge_status(edges, objects))
+    status = F.create_map(*[F.lit(x) for kv in {"missing": 0, "quarantined": 1, "promised": 2, "wrong_kind": 3}.items() for x in kv])
+    live = closure(roots, met.filter("status = 'ok'").select("source", "target"))
+    bad = live.join(met.filter("status <> 'ok'").select(F.col("source").alias("object"), "status"), "object").groupBy("root").agg(F.min_by("status", status[F.col("status")]).alias("status"))
+    return roots.select(F.col("object").alias("root")).distinct().join(bad, "root", "left").select("root", F.coalesce("status", F.lit("ok")).alias("status"))
+
+
 def edge_status(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """source, target, status: ok, missing, promised, quarantined or wrong_kind.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.publish import fold
+
 
 def presence(quarantined: Column, present: Column, promised: Column) -> Column:
     """Quarantined wins over present, present over promised."""
@@ -17,24 +19,8 @@ def current(log: DataFrame, key: str = "key") -> DataFrame:
 
 
 def cas_outcomes(attempts: DataFrame, key: str = "key") -> DataFrame:
-    """attempt, outcome: attempts (key, seq, expected generation or null for absent) in seq order.
-
-    An attempt wins if it is the first to expect its generation and every lower one has been won before it: the first
-    attempt for each expected generation is a candidate, and it wins while the candidates' generations are dense and in
-    seq order from the start.
-    """
-    want = F.coalesce(F.col("expected") + 1, F.lit(0))
-    tried = attempts.withColumn("_want", want)
-    # A generation g can only be won after g - 1, so its winner is the first attempt after that one; in logs where each
-    # attempt expects what its predecessor left, that is the first for the generation.
-    first = tried.groupBy(key, "_want").agg(F.min("seq").alias("_seq"))
-    w = Window.partitionBy(key).orderBy("_want")
-    ok = (F.row_number().over(w) - 1 == F.col("_want")) & (F.col("_seq") > F.coalesce(F.lag("_seq").over(w), F.lit(-1)))
-    chain = first.withColumn("_ok", ok)
-    won = chain.withColumn("_won", F.min(F.col("_ok").cast("int")).over(w) == 1).select(key, "_want", "_seq", "_won")
-    out = tried.join(won, [key, "_want"])
-    outcome = F.when(F.col("_won") & (F.col("seq") == F.col("_seq")), "accepted").otherwise("conflict")
-    return out.select("attempt", outcome.alias("outcome"))
+    """attempt, outcome: attempts (key, seq, expected generation or null for absent) in seq order; see publish.fold()."""
+    return fold(attempts, key).select("attempt", "outcome")
 
 
 def matched(updates: DataFrame, actions: DataFrame, on: list[str], order_u: str, order_a: str) -> DataFrame:

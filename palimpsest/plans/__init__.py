@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names, or a temporary one where it is unset."""
+    """df checkpointed in the folder that spark.checkpoint.dir names; a temporary one only where all runs on one machine."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not found and not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="palimpsest-"))
     return df.checkpoint(eager=True)
 

@@ -101,7 +101,7 @@ def _(spark, d):
 
 @query("manifest_hash_by_source", f"WITH {FILES} SELECT source, count(*) AS n_files, sha256(string_agg(path||'='||hash, chr(10) ORDER BY path||'='||hash)) AS list_hash FROM files GROUP BY source")
 def _(spark, d):
-    return R.files(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), manifest.list_hash().alias("list_hash"))
+    return manifest.list_hashes(R.files(spark, d), "source")
 
 
 @query("loose_paths", f"WITH {FILES} SELECT DISTINCT hash, 'objects/loose/0/12/'||substr(hash,1,2)||'/'||substr(hash,3)||'.rgl' AS path FROM files")
@@ -174,8 +174,10 @@ def _(spark, d):
 def _(spark, d):
     plan = diff.merge(*R.three_manifests(spark, d)).filter("outcome = 'conflict'")
     sides = R.secured(spark, plan.select("path")).withColumn("sides", F.array(F.col("domains"), access.public()))
-    met = sides.join(R.actors(spark).select("actor", F.col("domains").alias("mine")), F.lit(True), "inner")
-    return met.select("actor", "path", access.can_access_all(F.col("mine"), F.col("sides")).alias("allowed"))
+    # Actors meet the distinct policies, and these their conflicts.
+    met = sides.select("sides").distinct().join(R.actors(spark).select("actor", F.col("domains").alias("mine")), F.lit(True), "inner")
+    ruled = met.select("actor", "sides", access.can_access_all(F.col("mine"), F.col("sides")).alias("allowed"))
+    return sides.select("path", "sides").join(ruled, "sides").select("actor", "path", "allowed")
 
 
 @query("policy_evaluation", "WITH g AS (SELECT DISTINCT user_id AS principal, event_type AS capability FROM events WHERE value >= 0), x AS (SELECT DISTINCT user_id AS principal, event_type AS capability FROM events WHERE event_id % 97 = 0) SELECT principal, capability FROM g EXCEPT SELECT principal, capability FROM x")
@@ -471,8 +473,7 @@ def _(spark, d):
 
 @query("sorted_unique_check", "SELECT source, list_sort(list_distinct(l)) = l AS ok FROM (SELECT source, list(lang ORDER BY doc_id) AS l FROM documents GROUP BY source)")
 def _(spark, d):
-    by = table(spark, d, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"]).alias("l"))
-    return by.select("source", checks.sorted_unique(F.col("l")).alias("ok"))
+    return checks.unsorted_groups(table(spark, d, "documents"), "source", "doc_id", "lang")
 
 
 @query("one_to_one_mapping", "SELECT 'right' AS side, CAST(n_regionkey AS VARCHAR) AS value FROM nation GROUP BY n_regionkey HAVING count(DISTINCT n_nationkey) > 1")

@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from palimpsest import registry
+from palimpsest import registry, store_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, ORACLES = registry.QUERIES | store_queries.QUERIES, registry.ORACLES | store_queries.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -20,18 +21,18 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, db, name):
-    df = registry.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
-    r = db.execute(registry.ORACLES[name])
+    r = db.execute(ORACLES[name])
     names = [x[0] for x in r.description]
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     assert got == sorted(repr(tuple(x[i] for i in order)) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
