@@ -10,7 +10,7 @@ Everything is distributed: an exponent's sums are aggregates over the table of s
 five passes narrow it to a part in 10^9), and the cut of a last block comes from sums over SLICES slices of each
 permutation, so that only the documents of one slice a source are ever ordered.
 
-Edge cases: a null source is a source of its own; null and empty texts count no tokens and are placed like others;
+Edge cases: other columns may have any names; a null source is a source of its own; null and empty texts count no tokens and are placed like others;
 a source without tokens gets weight 0 and each of its documents is drawn once without a budget, else never; repeated rows are documents of
 their own, and rows equal in id and text are drawn together; empty tables give empty tables.
 """
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import fresh, materialise, whole
 
 #: Slices of a permutation by its key's first bits.
 SLICES = 4096
@@ -99,13 +99,17 @@ def plan(totals: DataFrame, entropy: float | None = None, repeats: float | None
 
 
 def draw(docs: DataFrame, sources: DataFrame, tokens: Column, seed: int = 11, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of docs, and _block (from 0), _key (order within the block) and _weight, for each draw."""
+    """Every column of docs, and _block (from 0), _key (order within the block) and _weight, for each draw.
+
+    Where docs has a column of such a name, the added one has underscores behind it.
+    """
     s = sources.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), "blocks", "rest")
-    base = docs.withColumn("_tokens", tokens)
-    last = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    id_, text = F.col(f"row.{id_col}"), F.col(f"row.{text_col}")
+    base = docs.select(whole(docs), F.col(source_col).alias("_s"), tokens.alias("_tokens"))
+    last = F.xxhash64(F.lit(seed), id_, text)
     # xxhash64 with another first value gives each block a permutation of its own.
     base = base.withColumn("_last", last).withColumn("_slice", F.shiftrightunsigned(F.col("_last"), 64 - (SLICES.bit_length() - 1)).cast("int"))
-    light = base.select(F.col(source_col).alias("_s"), "_slice", "_last", "_tokens")
+    light = base.select("_s", "_slice", "_last", "_tokens")
     sums = light.groupBy("_s", "_slice").agg(F.sum("_tokens").alias("_in"))
     run = Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("_upto", F.sum("_in").over(run)).join(s, F.col("_s").eqNullSafe(F.col("_source")))
@@ -122,9 +126,9 @@ def draw(docs: DataFrame, sources: DataFrame, tokens: Column, seed: int = 11, so
     per = materialise(per)
     # Unsigned order: the slice first, then the signed key within it (all keys of a slice have one sign).
     partly = (F.col("rest") > 0) & ((F.col("_slice") < F.col("_end_slice")) | ((F.col("_slice") == F.col("_end_slice")) & (F.col("_last") <= F.col("_cut"))))
-    drawn = base.join(per, F.col(source_col).eqNullSafe(F.col("_source")))
+    drawn = base.join(per, F.col("_s").eqNullSafe(F.col("_source")))
     n = F.col("blocks") + F.when(partly, 1).otherwise(0)
     drawn = drawn.withColumn("_n", n.cast("int")).filter("_n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     drawn = drawn.withColumn("_block", F.col("_block").cast("long"))
-    key = F.when(F.col("_block") == F.col("blocks"), F.col("_last")).otherwise(F.xxhash64(F.lit(seed), F.col("_block"), F.col(id_col), F.col(text_col)))
-    return drawn.withColumn("_key", key).select(*docs.columns, "_block", "_key", "_weight")
+    key = F.when(F.col("_block") == F.col("blocks"), F.col("_last")).otherwise(F.xxhash64(F.lit(seed), F.col("_block"), id_, text))
+    return drawn.withColumn("_key", key).select("row.*", *[F.col(x).alias(fresh(x, docs.columns)) for x in ("_block", "_key", "_weight")])

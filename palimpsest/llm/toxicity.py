@@ -9,7 +9,9 @@ so a pair of terms (an insult with the mention of a group) can weigh more, or le
 AdaGrad on log loss from a bounded sample of labelled rows: at most max_rows of them, the first by a hash of doc_id
 (every labelled row where there are fewer). The model's size is fixed by bits and k, so it may be sent to every executor.
 
-Edge cases: null and empty texts have no terms and get the bias alone; a null label or doc_id takes no part in learning;
+A slot is learnt for its own effect, or for that of its pair with another slot: neither of two terms need say anything alone.
+
+Edge cases: other columns may have any names; null and empty texts have no terms and get the bias alone; a null label or doc_id takes no part in learning;
 a doc_id that is labelled twice counts toxic if any label says so; repeated rows are scored each; without labelled rows,
 or with labels of one class only, the bias is the smoothed log odds and the other weights are zero; empty tables give empty tables.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import fresh, texts
 
 #: Bytes of a word, lower-cased, and a space for every other byte.
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -74,22 +76,51 @@ def margins(m: Machine, rows: list[np.ndarray]) -> np.ndarray:
     return z
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, k: int = 4, epochs: int = 4, batch: int = 32, rate: float = 0.3, l2: float = 1e-4, least: int = 4, clear: float = 4.0, cost: float = 2.0, seed: int = 7) -> Machine:
-    """Learns from sets of slots and labels 0 or 1. Slots in fewer than least rows, and those
-    whose shares in both classes differ by less than clear standard errors, stay at zero; a missed positive counts
+def screened(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: int, clear: float, pool: int) -> np.ndarray:
+    """Whether a slot is learnt: it is in at least `least` rows, and its shares of both classes differ by `clear` standard
+    errors, or those of its pair with another such slot do, by 1.75 times as many. Pairs are looked for among the pool
+    slots whose own shares don't differ and that divide the rows most evenly."""
+    pos = labels > 0
+    n = np.array([len(labels) - pos.sum(), pos.sum()], np.float64)
+    counts = [np.bincount(np.concatenate([r for r, y in zip(rows, pos, strict=True) if y == c] or [np.empty(0, np.int32)]), minlength=1 << bits) for c in (False, True)]
+
+    def gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p = (a + b) / n.sum()
+        return np.abs(b / n[1] - a / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n).sum())
+
+    often = counts[0] + counts[1]
+    keep = (often >= least) & (gap(*counts) >= clear)
+    rest = np.flatnonzero((often >= least) & ~keep)
+    rest = np.sort(rest[np.argsort(-(often * (n.sum() - often))[rest], kind="stable")[:pool]])
+    place = np.full(1 << bits, -1)
+    place[rest] = np.arange(len(rest))
+    both = [np.zeros((len(rest), len(rest)), np.float32) for _ in (0, 1)]
+    for c in (0, 1):
+        own = [r for r, y in zip(rows, pos, strict=True) if y == bool(c)]
+        for i in range(0, len(own), 512):
+            x = np.zeros((len(own[i : i + 512]), len(rest)), np.float32)
+            for j, r in enumerate(own[i : i + 512]):
+                at = place[r]
+                x[j, at[at >= 0]] = 1
+            both[c] += x.T @ x
+    z = gap(*both)
+    z[both[0] + both[1] < least] = 0
+    np.fill_diagonal(z, 0)
+    keep[rest[(z >= 1.75 * clear).any(1)]] = True
+    return keep
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, k: int = 4, epochs: int = 4, batch: int = 32, rate: float = 0.3, l2: float = 1e-4, least: int = 4, clear: float = 4.0, cost: float = 2.0, pool: int = 2048, start: float = 0.05, seed: int = 7) -> Machine:
+    """Learns from sets of slots and labels 0 or 1. Slots that screened() leaves out stay at zero; a missed positive counts
     cost times, as positives are rare and a document that is rejected can be looked at again. The same rows in the same order give the same machine."""
     pos = float(labels.sum())
     m = Machine(bits, float(np.log((pos + 0.5) / (len(labels) - pos + 0.5))), np.zeros(1 << bits, np.float32), np.zeros((1 << bits, k), np.float32))
     if pos == 0 or pos == len(labels):
         return m
-    there = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c] or rows[:0] or [np.empty(0, np.int32)]), minlength=1 << bits) for c in (0, 1)]
-    n, (a, b) = (len(labels) - pos, pos), there
-    p = (a + b) / len(labels)
-    z = np.abs(b / n[1] - a / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
-    keep = (a + b >= least) & (z >= clear)
+    keep = screened(rows, labels, bits, least, clear, pool)
     rows = [r[keep[r]] for r in rows]
     rng = np.random.default_rng(seed)
-    m.factors = np.where(keep[:, None], rng.standard_normal((1 << bits, k)) * 0.01, 0).astype(np.float32)
+    m.factors = np.where(keep[:, None], rng.standard_normal((1 << bits, k)) * start, 0).astype(np.float32)
     gw, gv, gb = np.full(1 << bits, 1e-2, np.float32), np.full((1 << bits, k), 1e-2, np.float32), 1e-2
     for _ in range(max(epochs, -(-600 * batch // len(rows)))):  # 600 steps at least
         deal = rng.permutation(len(rows))
@@ -131,24 +162,27 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, label_col: str = "
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, k: int = 4, max_rows: int = 10_000) -> Machine:
-    """The driver gathers the slots of the sample, at most max_rows sets of them, and fits the machine."""
+    """The driver gathers the slots of the sample, at most max_rows sets of them, and fits the machine. doc_id may have any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(bits)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms(t).tobytes() for t in texts(b.column(1))], pa.binary()), b.column(2)], names=["doc_id", "slots", "label"])
 
-    rows = sample(docs, labels, max_rows).mapInArrow(run, "doc_id long, slots binary, label int").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = sample(docs, labels, max_rows).mapInArrow(run, f"doc_id {kind}, slots binary, label int")
+    # Rows that share a doc_id are all in the sample's join, so the bound is kept on rows too.
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(max_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.slots)))
     return fit([np.sort(np.frombuffer(bytes(r.slots), dtype=np.int32)) for r in rows], np.array([float(r.label) for r in rows]), bits, k)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bits, machine.bias, machine.weights, machine.factors))  # fixed by bits and k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Machine(*sent.value)
         terms = Terms(m.bits)
         for b in batches:
             z = []
@@ -162,12 +196,12 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """Every column of docs and the score, for stages that keep the rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text_col)
+    """Every column of docs and last the score, named out (with underscores behind it where docs has that column)."""
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bits, machine.bias, machine.weights, machine.factors))
+    at, out = docs.columns.index(text_col), fresh(out, docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Machine(*sent.value)
         terms = Terms(m.bits)
         for b in batches:
             for i in range(0, b.num_rows, 256):

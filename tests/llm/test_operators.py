@@ -156,6 +156,31 @@ def test_interactions():
     assert z[2] > 0 > max(z[0], z[1], z[3])
 
 
+@pytest.mark.parametrize("kind", ["either", "both"])
+def test_interactions_by_default(kind):
+    """With default parameters the machine finds pairs that its linear part can't: one of two terms but not both, or an
+    insult with a group, each harmless alone."""
+    terms, rng = toxicity.Terms(18), np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(5000):
+        a, b = rng.random(2) < (0.5 if kind == "either" else 0.2)
+        words = [f"filler{x}" for x in rng.integers(0, 300, 20)] + ["alpha"] * int(a) + ["beta"] * int(b)
+        rows.append(terms(" ".join(words).encode()))
+        y.append(float(a != b if kind == "either" else a and b))
+    y = np.array(y)
+    m = toxicity.fit(rows[:4000], y[:4000])
+    right = lambda x: ((toxicity.margins(x, rows[4000:]) >= 0) == (y[4000:] > 0)).mean()
+    assert right(m) > 0.99
+    assert right(m) > right(toxicity.Machine(m.bits, m.bias, m.weights, m.factors * 0)) + 0.02
+
+
+def test_sample_is_bounded(spark):
+    """Rows that share a doc_id don't break the bound; ids of any type."""
+    docs = spark.createDataFrame([("a", f"word{i}") for i in range(50)] + [(f"b{i}", "other") for i in range(5)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1)] + [(f"b{i}", 0) for i in range(5)], "doc_id string, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels, max_rows=3)).count() == 55
+
+
 def test_mixer(spark, awkward, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0
@@ -371,3 +396,26 @@ def test_pipeline(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
     out = corpus_pipeline.run(spark, DATA)
     assert 0 < out.select("doc_id").distinct().count() <= table.count()
+
+
+CLASHING = ["row", "_id", "_h", "_s", "_source", "_tokens", "_last", "_slice", "_block", "_key", "_weight", "_n", "blocks", "rest", "_toxicity", "toxicity", "score", "h", "node", "id", "key", "word", "train", "first"]
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that operators and stages use inside stay as they are."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} here", "abc"[i % 3], *[7] * len(CLASHING)) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    own = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        own = stage(spark, own, DATA)
+        assert own.columns == docs.columns, name
+        assert {r[c] for r in own.collect() for c in CLASHING} == {7}, name
+    drawn = mixing.draw(docs, mixing.plan(mixing.source_totals(docs, mixing.four_bytes(F.col("text"))), repeats=2.0), mixing.four_bytes(F.col("text")))
+    assert drawn.columns == [*docs.columns, "_block_", "_key_", "_weight_"]
+    n = docs.count()
+    assert neardup.linked(docs, 2).count() == mixer.score(docs, F.lit(True)).count() == licences.scan(docs).count() == spots.compare_with_next(docs).count() == n
+    assert bpe.round_trip(docs, digests.RANKS, P.PATTERN).count() == n
+    talk = docs.withColumn("conv_id", F.col("doc_id")).withColumn("turn", F.lit(0).cast("long"))
+    assert quotes.threads(talk).count() == n
+    assert crosspoly.search(docs.withColumn("vec_id", F.col("doc_id")).withColumn("embedding", F.array(F.rand(1), F.rand(2))), F.col("vec_id") == 0).count() == 20
