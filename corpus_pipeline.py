@@ -1,7 +1,7 @@
 """The corpus pipeline: toxic documents go, one of each group of near copies stays, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder
-and reads it as the next stage's docs. All stages but the last return the columns of documents.
+and reads it as the next stage's docs. All stages but the last return the columns of docs, whatever further ones there are.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, mixing, neardup, toxicity
-from palimpsest.llm.common import discard, materialise, table
+from palimpsest.llm.common import discard, materialise, table, whole
 from palimpsest.llm.digests import PATTERN, RANKS
 
 #: The pipeline's sources are repeated at most so often, and every document is used at least once.
@@ -20,7 +20,8 @@ REPEATS = 2.0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents of a toxicity of 0.5 or more; the machine learns from the labelled rows of docs."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.annotate(docs, machine, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    scored = toxicity.annotate(docs, machine)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).drop(scored.columns[-1])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     id_key, text_key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"), F.xxhash64("text").alias("_h")
     stays = neardup.linked(docs, words=5).filter("stays").select(id_key, F.col("h").alias("_h")).distinct().hint("merge")
     # The join and the removal of repeated rows share one partitioning; what stays grows with the input, so it is never broadcast.
-    return docs.select("*", id_key, text_key).join(stays, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    return docs.select(whole(docs), id_key, text_key).join(stays, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
