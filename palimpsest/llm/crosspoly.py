@@ -1,33 +1,46 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns a unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and
-assigns it to the nearest signed axis. A query probes the axes of its largest signed coordinates in each table, more of
-them until it has k candidates, in the end the whole shard. The k-th best score so far then says which cosine a vector of
-each length needs to enter, and depths() how many axes find such a cosine in this dimension: long vectors are probed
-deeper, and those too short to enter aren't looked at. What is found is ranked by the exact inner product of the
-original vectors, in double precision.
-
-The rows are dealt to shards of about SHARD vectors by a hash of vec_id and queries to blocks; each shard holds its own
-tables of every one of its rows, every block meets every shard, and a shard's best k meet in one last sort. A vector that a
-third of all rows share is thus spread over all shards.
-
-Edge cases: vectors that are null or zero, hold a null, a NaN or an infinity, or whose length isn't the commonest one
-take no part, nor do rows with a null vec_id; ties go to the smaller vec_id; of rows with one vec_id each is a candidate (but
-not of queries with that vec_id); fewer than k other vectors give as many rows as there are; empty tables give empty tables.
+A table turns a unit vector by pseudo-rotations (three rounds of random signs and a fast Hadamard transform each) and
+assigns it to the nearest signed axis of each: these axes are its bucket, the key of a join. A query probes the buckets
+of the axes nearest to it, PROBES of them a table, in the order of the sum of its coordinates. Few axes are taken for
+small tables of vectors and more for large ones, so that a bucket holds about FILL vectors, and the number of tables
+follows from a simulation of the cosine that the k-th of so many random vectors has: all but MISS of them are met. Up to
+EXACT vectors have one bucket without axes, which is exact.
+
+Inner products favour long vectors: vectors are dealt to bands by powers of two of their length, each has its own
+buckets, and queries probe all of them (and those of their own number of components only).
+
+Buckets hold sketches, a byte a component, with the length and the sketch's own error. They bound an inner product from
+below and above, so a candidate goes only if k others are surely nearer. What is left is ranked by the exact inner
+product of the original vectors, in double precision.
+
+Equal vectors are one vector with its smallest ids, so that a vector that a third of all rows share costs as much as any
+other. A bucket's queries are held while its vectors stream by.
+
+Edge cases: vectors that are null or zero, hold a null, a NaN or an infinity take no part, nor do rows with a null
+vec_id; ties go to the smaller vec_id; of rows with one vec_id each is a candidate (but not of queries with that vec_id),
+equal rows as often as they are there; queries that share a vec_id but not a vector have rankings of their own; fewer
+than k other vectors give as many rows as there are; empty tables give empty tables; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, QUERIES = 4096, 4096
-#: Share of vectors that may be missed at the cosine of the k-th best; steps of the cosine.
-MISS, STEPS = 0.01, 50
+from palimpsest.llm.common import materialise
+
+#: Probes a table, vectors a bucket, share that all tables may miss of the k-th nearest, vectors that need no axes.
+PROBES, FILL, MISS, EXACT = 16, 20, 0.04, 1024
+#: Rows of buckets and pairs that are looked at together.
+ROWS, PAIRS = 100_000, 200_000
+SEED = 5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -40,95 +53,273 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(width)
 
 
-def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
-    """Signed axes as 2 * width coordinates of each turned row."""
-    width = 1 << max(1, (x.shape[1] - 1).bit_length())
+def width_of(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def rotated(x: np.ndarray, number: int) -> np.ndarray:
+    """Each row, filled up with zeros, after pseudo-rotation `number`."""
+    width = width_of(x.shape[1])
     out = np.zeros((len(x), width))
     out[:, : x.shape[1]] = x
-    rng = np.random.default_rng((seed, table))
+    rng = np.random.default_rng((SEED, width, number))
     for _ in range(3):
         out = hadamard(out * rng.choice((-1.0, 1.0), width))
-    return np.concatenate([out, -out], axis=1)
-
-
-def depths(width: int, tables: int, seed: int = 11) -> np.ndarray:
-    """How many axes to probe for a cosine of -1, -1 + 1 / STEPS, ... 1, so that one of the tables finds it but MISS times."""
-    width = 1 << max(1, (width - 1).bit_length())
-    rng, n = np.random.default_rng((seed, width)), max(200, min(2000, 2**18 // width))
-    q, noise = rng.standard_normal((2, n, width))
-    out = []
-    for c in np.arange(-STEPS, STEPS + 1) / STEPS:
-        x = c * q + math.sqrt(1 - c * c) * noise
-        at = np.abs(x).argmax(1)[:, None]
-        seen = (np.take_along_axis(q, at, 1) * np.sign(np.take_along_axis(x, at, 1)))[:, 0]
-        rank = (q > seen[:, None]).sum(1) + (-q > seen[:, None]).sum(1)
-        out.append(np.quantile(rank, 1 - MISS ** (1 / tables), method="higher") + 1)
-    return np.maximum.accumulate(np.array(out)[::-1])[::-1]
-
-
-def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, tables: int, probes: int, depth: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, id, score: the best k of one shard for each query."""
-    lengths, asked = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-    unit, ask = vectors / lengths[:, None], queries / asked[:, None]
-    first = None  # the least place of each vector's axis among a query's axes, over all tables
-    for t in range(tables):
-        bucket = rotated(unit, t, seed).argmax(1)
-        axes = rotated(ask, t, seed)
-        place = np.empty(axes.shape, np.min_scalar_type(axes.shape[1]))
-        np.put_along_axis(place, np.argsort(-axes, axis=1), np.arange(axes.shape[1], dtype=place.dtype)[None], axis=1)
-        place = place[:, bucket]
-        first = place if first is None else np.minimum(first, place, out=first)
-    out: list[tuple] = []
-    for i in range(len(ask)):
-        near, other = first[i], ids != query_ids[i]
-        rest = near[other]
-        if not rest.size:
-            continue
-        enough = probes if rest.size <= k else max(probes, int(np.partition(rest, k - 1)[k - 1]) + 1)
-        looked = other if rest.size <= k else other & (near < enough)
-        at = np.flatnonzero(looked)
-        s = (vectors[at] * queries[i]).sum(1)
-        if rest.size > k:
-            cosine = np.partition(s, at.size - k)[at.size - k] / (asked[i] * lengths)
-            deep = depth[np.floor((np.clip(cosine, -1, 1) + 1) * STEPS).astype(int)]
-            more = np.flatnonzero(other & ~looked & (near < deep) & (cosine <= 1 + 1e-9))
-            at, s = np.concatenate([at, more]), np.concatenate([s, (vectors[more] * queries[i]).sum(1)])
-        if at.size > k:
-            keep = s >= np.partition(s, at.size - k)[at.size - k]  # with all ties
-            at, s = at[keep], s[keep]
-        best = np.lexsort((ids[at], -s))[:k]
-        out.append((np.full(len(best), query_ids[i]), ids[at][best], s[best]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def search(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query row. probes is the least number of axes a table."""
+    return out
+
+
+class Rotations:
+    """Pseudo-rotations of vectors of one dimension. For few components each is worked out once, as what it does to the
+    unit vectors, and blocks of vectors are multiplied by that."""
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+
+    def __call__(self, x: np.ndarray, number: int, axes: int) -> np.ndarray:
+        """Signed axes as coordinates: the first `axes`, then their opposites."""
+        if self.dim <= 256:
+            if number not in self.known:
+                self.known[number] = rotated(np.eye(self.dim), number).astype(np.float32)
+            out = x.astype(np.float32) @ self.known[number][:, :axes]
+        else:
+            out = rotated(x, number)[:, :axes].astype(np.float32)
+        return np.concatenate([out, -out], axis=1)
+
+
+def best_sums(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Of one column from each part, for each row, the n combinations with the largest sums, as mixed-radix numbers."""
+    sums, codes = np.zeros((len(parts[0]), 1), np.float32), np.zeros((len(parts[0]), 1), np.int64)
+    for p in parts:
+        m = min(n, p.shape[1])
+        at = np.argpartition(-p, m - 1, axis=1)[:, :m]
+        all_sums = (sums[:, :, None] + np.take_along_axis(p, at, 1)[:, None, :]).reshape(len(p), -1)
+        all_codes = (codes[:, :, None] * p.shape[1] + at[:, None, :]).reshape(len(p), -1)
+        m = min(n, all_sums.shape[1])
+        pick = np.argpartition(-all_sums, m - 1, axis=1)[:, :m]
+        sums, codes = np.take_along_axis(all_sums, pick, 1), np.take_along_axis(all_codes, pick, 1)
+    return codes
+
+
+def axes_of(n: int, dim: int) -> list[int]:
+    """How many axes each rotation of a table has, for n vectors: whole ones, and a last one of as many as are still needed."""
+    if n <= EXACT:
+        return []
+    width, out, buckets = width_of(dim), [], n / FILL
+    while buckets > 2 * width:
+        out.append(width)
+        buckets /= 2 * width
+    last = round(buckets / 2)
+    return out + [min(width, last)] if last >= 1 else out or [1]
+
+
+def tables_for(n: int, dim: int, k: int) -> int:
+    """Tables at which all but MISS of the k-th nearest of n random vectors are met, by simulation."""
+    axes = axes_of(n, dim)
+    if not axes:
+        return 1
+    cosine = min(0.99, NormalDist().inv_cdf(1 - min(0.5, k / n)) / math.sqrt(dim))
+    rng = np.random.default_rng((SEED, dim, n))
+    asked, met = [], np.zeros(4000, np.int64)
+    for a in axes:
+        q, noise = rng.standard_normal((2, 4000, width_of(dim)), dtype=np.float32)[:, :, :a]
+        x = cosine * q + math.sqrt(1 - cosine**2) * noise
+        asked.append(np.concatenate([q, -q], axis=1))
+        met = met * 2 * a + np.concatenate([x, -x], axis=1).argmax(1)
+    hit = (best_sums(asked, PROBES) == met[:, None]).any(1).mean()
+    return max(1, math.ceil(math.log(MISS) / math.log(max(1e-9, 1 - min(hit, 1 - 1e-9)))))
+
+
+def sketched(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, bytes of their sketches, and mantissas and exponents of lengths; no length is too large or small."""
+    most = np.abs(x).max(1)
+    _, power = np.frexp(most)
+    scaled = np.ldexp(x, -power[:, None])
+    length = np.sqrt((scaled**2).sum(1))
+    unit = scaled / length[:, None]
+    step = np.abs(unit).max(1) / 127
+    marks = np.rint(unit / step[:, None]).astype(np.int8)
+    off = np.sqrt(((marks * step[:, None] - unit) ** 2).sum(1)) + 1e-6
+    mantissa, more = np.frexp(length)
+    head = np.stack([step.astype(np.float32), off.astype(np.float32), mantissa.astype(np.float32), (power + more).astype(np.float32)], 1)
+    return unit, np.concatenate([head.view(np.uint8).reshape(len(x), -1), marks.view(np.uint8)], 1), power + more
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+
+
+def by_dimension(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """dimension, rows and vectors of a batch of (id, v), a part at a time."""
+    size = b.column(1).value_lengths().to_numpy()
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        for i in range(0, len(at), 2000):
+            yield int(dim), at[i : i + 2000], matrix(b.column(1).take(pa.array(at[i : i + 2000])))
+
+
+def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[int, list[int]], asks: bool) -> DataFrame:
+    """dim, bucket, member, id, sketch: the buckets of vectors (asks: those that queries probe). rows: id, v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn: dict[int, Rotations] = {}
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for dim, at, x in by_dimension(b):
+                unit, sketch, power = sketched(x)
+                axes, tables = shape[dim]
+                own = turn.setdefault(dim, Rotations(dim))
+                cells = math.prod(2 * a for a in axes)
+                flat = pa.array([r.tobytes() for r in sketch], pa.binary())
+                for t in range(tables):
+                    parts = [own(unit, t * len(axes) + j, a) for j, a in enumerate(axes)]
+                    if not axes:
+                        code = np.zeros((len(at), 1), np.int64)
+                    elif asks:
+                        code = best_sums(parts, PROBES)
+                    else:
+                        code = np.zeros((len(at), 1), np.int64)
+                        for p in parts:
+                            code = code * p.shape[1] + p.argmax(1)[:, None]
+                    code = code + t * cells
+                    if asks:  # each band
+                        code = np.concatenate([code * 4096 + (2048 + band) for band in bands[dim]], 1)
+                    else:
+                        code = code * 4096 + (2048 + power)[:, None]
+                    who = np.repeat(np.arange(len(at)), code.shape[1])
+                    n = len(who)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, dim, np.int32)), pa.array(code.ravel()), pa.array(np.full(n, not asks)), pa.array(ids[at][who]), flat.take(pa.array(who))],
+                        names=["dim", "bucket", "member", "id", "sketch"],
+                    )
+
+    return rows.select("id", "v").mapInArrow(run, "dim int, bucket long, member boolean, id long, sketch binary")
+
+
+def nearer(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs can be among the k best of their query: those that no k others are surely above."""
+    order = np.lexsort((-low, q))
+    first = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
+    size = np.diff(np.append(first, len(q)))
+    bar = np.where(size >= k, low[order][np.minimum(first + k - 1, len(q) - 1)], -np.inf)
+    return order[high[order] >= np.repeat(bar, size)]
+
+
+def met(rows: DataFrame, k: int, tops: dict[int, int]) -> DataFrame:
+    """q, x, low, high: queries and vectors that share a bucket, with bounds of the inner product divided by the query's
+    length and by two to the power of the highest band (tops, a dimension), less what k others surely beat."""
+
+    def pairs(top: int, bucket: np.ndarray, member: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> tuple:
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        run_of = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]).astype(np.int64)]))
+        members = np.add.reduceat(member.astype(np.int64), starts)
+        ends = np.append(starts[1:], len(bucket))
+        asking = np.flatnonzero(~member)
+        n = members[run_of[asking]]
+        begin = ends[run_of[asking]] - n  # members come last
+        head = np.ascontiguousarray(sketch[:, :16]).view(np.float32)
+        marks = sketch[:, 16:].view(np.int8)
+        upto, out = np.concatenate([[0], np.cumsum(n)]), []
+        i = 0
+        while i < len(asking):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, side="right")) - 1)
+            for lo in range(0, int(n[i:j].max(initial=0)) if j == i + 1 else 1, PAIRS):
+                size = np.minimum(n[i:j] - lo, PAIRS) if j == i + 1 else n[i:j]
+                a = np.repeat(asking[i:j], size)
+                b = np.repeat(begin[i:j] + lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+                if not a.size:
+                    continue
+                dot = np.einsum("ij,ij->i", marks[a].astype(np.float32), marks[b].astype(np.float32)).astype(np.float64)
+                cosine = dot * head[a, 0] * head[b, 0]
+                off = head[a, 1].astype(np.float64) + head[b, 1] * (1.0 + head[a, 1]) + 1e-5
+                scale = np.ldexp(head[b, 2].astype(np.float64), head[b, 3].astype(np.int64) - top)
+                out.append((ids[a], ids[b], (cosine - off) * scale, (cosine + off) * scale))
+            i = j
+        if not out:
+            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
+        q, x, low, high = (np.concatenate(c) for c in zip(*out, strict=True))
+        once = first_of(q, x)
+        q, x, low, high = q[once], x[once], low[once], high[once]
+        keep = nearer(q, x, low, high, k)
+        return q[keep], x[keep], low[keep], high[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            if not held:
+                return
+            dim, bucket, member, ids = (np.concatenate([h[i] for h in held]) for i in range(4))
+            sketches = [s for h in held for s in h[4]]
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                sketch = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(tops[int(d)], bucket[at], member[at], ids[at], sketch)], names=["q", "x", "low", "high"])
+            # The queries of the bucket that may go on stay.
+            stay = np.flatnonzero((dim == dim[-1]) & (bucket == bucket[-1]) & ~member) if not last else np.empty(0, np.int64)
+            held = [(dim[stay], bucket[stay], member[stay], ids[stay], [sketches[i] for i in stay])] if stay.size else []
+            n = 0
+
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).to_pylist()))
+            n += b.num_rows
+            if n >= ROWS:
+                yield from flush(False)
+        yield from flush(True)
+
+    return rows.repartition("dim", "bucket").sortWithinPartitions("dim", "bucket", "member").mapInArrow(run, "q long, x long, low double, high double")
+
+
+def first_of(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of distinct pairs."""
+    order = np.lexsort((x, q))
+    return order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (x[order][1:] != x[order][:-1])])] if order.size else order
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
     v = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    base = rows.filter(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    width = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not width:
+    base = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.coalesce(good, F.lit(False)).alias("good")).filter("good")
+    # Of equal vectors the k + 1 smallest ids are enough: one of them may be the query's own.
+    each = base.groupBy("v", "id").agg(F.count(F.lit(1)).alias("n"))
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
+    vectors = few.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))
+    vectors = materialise(vectors.select(F.monotonically_increasing_id().alias("x"), "v", "ids"))
+    asked = materialise(base.filter("q").select("id", "v").distinct().select(F.monotonically_increasing_id().alias("q"), "id", "v"))
+
+    sizes: dict[int, int] = {}
+    bands: dict[int, list[int]] = {}
+
+    def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, _, x in by_dimension(b):
+                found, n = np.unique(sketched(x)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dim, np.int32)), pa.array(found.astype(np.int32)), pa.array(n)], names=["dim", "band", "n"])
+
+    # Bands are powers of two of doubles: 2,100 a dimension at most.
+    for r in vectors.select(F.col("x").alias("id"), "v").mapInArrow(powers, "dim int, band int, n long").groupBy("dim", "band").agg(F.sum("n").alias("n")).collect():
+        sizes[r["dim"]] = sizes.get(r["dim"], 0) + r["n"]
+        bands.setdefault(r["dim"], []).append(r["band"])
+    shape = {d: (axes_of(n, d), tables_for(n, d, k)) for d, n in sizes.items()}
+    if not shape:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = base.filter(F.size("v") == width[0]["w"])
-    head = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
-    shards, blocks = max(1, math.ceil(head["n"] / SHARD)), max(1, math.ceil(head["asked"] / QUERIES))
-    depth = depths(width[0]["w"], tables)
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("long")
-    held = base.withColumn("shard", deal(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("shard", "block", "id", "v")
-    asked = base.filter("q").select("id", "v").distinct().withColumn("block", deal(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", "block", "id", "v")
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        return np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, -1)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        cols: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        if a.num_rows and b.num_rows:
-            cols = nearest(matrix(a), a.column("id").to_numpy(), matrix(b), b.column("id").to_numpy(), k, tables, probes, depth)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
-
-    best = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    members = keyed(vectors.select(F.col("x").alias("id"), "v"), shape, bands, False)
+    probes = keyed(asked.select(F.col("q").alias("id"), "v"), shape, bands, True)
+    # Of a query's nearest vectors, those of its own id don't count.
+    more = k + (asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+    found = met(members.unionByName(probes), more, {d: max(x) for d, x in bands.items()}).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    best = Window.partitionBy("q").orderBy(F.desc("low"), "x")
+    of_query = Window.partitionBy("q")
+    ranked = found.withColumn("place", F.row_number().over(best))
+    bar = F.max(F.when(F.col("place") == more, F.col("low"))).over(of_query)
+    left = ranked.withColumn("bar", bar).filter("bar is null or high >= bar").select("q", "x")
+
+    whole = left.join(vectors.hint("merge"), "x").select("q", F.col("v").alias("w"), "ids").join(asked.hint("merge"), "q")
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    rows_of = whole.select("q", F.col("id").alias("query_id"), score.alias("score"), F.explode("ids").alias("i")).filter("i.id <> query_id")
+    rows_of = rows_of.select("q", "query_id", "score", F.col("i.id").alias("vec_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("i.n"))).alias("copy"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return rows_of.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

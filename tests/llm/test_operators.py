@@ -289,19 +289,64 @@ def test_nearest(spark):
     assert crosspoly.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize(("dim", "sigma", "longer"), [(64, 0.0, 1), (64, 0.3, 1), (64, 1.0, 1), (64, 0.0, 10), (128, 0.0, 1), (256, 0.1, 1)])
-def test_nearest_of_uneven_lengths(dim, sigma, longer):
-    """Recall of one shard by brute force; every query finds k."""
+def _exact(vectors, ids, at, k=20):
+    s = vectors @ vectors[at]
+    keep = np.flatnonzero(ids != ids[at])
+    return s[keep][np.lexsort((ids[keep], -s[keep]))[:k]]
+
+
+@pytest.mark.parametrize(("dim", "sigma", "longer"), [(64, 0.0, 1), (64, 0.3, 1), (64, 0.0, 10), (128, 0.0, 1), (300, 0.1, 1)])
+def test_nearest_of_uneven_lengths(spark, dim, sigma, longer):
+    """Recall by brute force with several tables and bands; every query finds k."""
     rng = np.random.default_rng(4)
     v = rng.standard_normal((3000, dim))
     v *= np.exp(sigma * rng.standard_normal((3000, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
     v[7] *= longer
-    q, _, s = crosspoly.nearest(v, np.arange(3000), v[:100], np.arange(100), 20, 10, 12, crosspoly.depths(dim, 10))
-    exact = v[:100] @ v.T
-    np.fill_diagonal(exact, -np.inf)
-    least = np.sort(exact, axis=1)[:, -20] - 1e-9
-    assert np.bincount(q, minlength=100).tolist() == [20] * 100
-    assert (s >= least[q]).mean() >= 0.97
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = crosspoly.search(rows, F.col("vec_id") % 50 == 0).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * 60
+    found = sum((g.score.to_numpy() >= _exact(v, np.arange(3000), q)[-1] - 1e-9).sum() for q, g in got.groupby("query_id"))
+    assert found >= 0.9 * 1200
+
+
+def test_nearest_of_embeddings(spark):
+    """Recall by brute force on the table itself, and the share of pairs that are looked at."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = rows.select("vec_id", "embedding").toPandas()
+    v, ids = np.array(t.embedding.tolist(), dtype=np.float64), t.vec_id.to_numpy()
+    got = crosspoly.search(rows, F.col("vec_id") % 20 == 0).toPandas()
+    by = dict(list(got.groupby("query_id")))
+    at = np.flatnonzero(ids % 20 == 0)
+    assert sum((by[ids[i]].score.to_numpy() >= _exact(v, ids, i)[-1] - 1e-9).sum() for i in at) >= 0.9 * 20 * len(at)
+
+
+def test_nearest_extremes(spark):
+    """Components that are huge or tiny take part, vectors of other lengths meet their own kind, a query's own id never counts."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 16))
+    for scale in (1e200, 1e-200):
+        rows = spark.createDataFrame([(i, (r * scale).tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = crosspoly.search(rows, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert len(got) == 20 and len({r.vec_id for r in got}) == 20
+        assert got[0].score == (np.inf if scale > 1 else 0)  # the products are beyond doubles: ties
+    rows = [(i, [1.0, float(i)]) for i in range(5)] + [(100 + i, [1.0, 0.0, float(i)]) for i in range(5)] + [(0, [5.0, 5.0]), (0, [1.0, 0.0])]
+    got = crosspoly.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 100), k=3).collect()
+    ranked = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        ranked[r.query_id].append((r.vec_id, r.score))
+    assert ranked[100] == [(101, 1.0), (102, 1.0), (103, 1.0)]
+    assert len(ranked[0]) == 6 and all(i not in (0, 100) for i, _ in ranked[0])  # two vectors of id 0, three rows each
+
+
+def _tie_rows():
+    return [(i, [1.0, 0.0]) for i in range(2000)] + [(5000 + i, [0.0, 1.0]) for i in range(5)]
+
+
+def test_nearest_ties(spark):
+    """A vector that most rows share: its smallest ids, repeated rows as often as they are there."""
+    rows = _tie_rows() + [(3, [1.0, 0.0])] * 2
+    got = crosspoly.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 1500), k=6).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, x) for x in (1, 2, 3, 3, 3, 4)] + [(1500, x) for x in (0, 1, 2, 3, 3, 3)]
 
 
 def test_mixing(spark):
