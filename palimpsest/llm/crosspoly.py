@@ -11,8 +11,10 @@ Inner products favour long vectors: vectors are dealt to bands by powers of two
 buckets, and queries probe all of them (and those of their own number of components only).
 
 Buckets hold sketches, a byte a component, with the length and the sketch's own error. They bound an inner product from
-below and above, so a candidate goes only if k others are surely nearer. What is left is ranked by the exact inner
-product of the original vectors, in double precision.
+below and above, so a candidate goes only if k others are surely nearer. A quarter of the tables is looked at first: the
+k-th best lower bound there is the bar that candidates of all tables must reach, so that what comes out of the buckets
+doesn't grow with what they hold. What is left is ranked by the exact inner product of the original vectors, in double
+precision.
 
 Equal vectors are one vector with its smallest ids, so that a vector that a third of all rows share costs as much as any
 other. A bucket's queries are held while its vectors stream by.
@@ -20,7 +22,7 @@ other. A bucket's queries are held while its vectors stream by.
 Edge cases: vectors that are null or zero, hold a null, a NaN or an infinity take no part, nor do rows with a null
 vec_id; ties go to the smaller vec_id; of rows with one vec_id each is a candidate (but not of queries with that vec_id),
 equal rows as often as they are there; queries that share a vec_id but not a vector have rankings of their own; fewer
-than k other vectors give as many rows as there are; empty tables give empty tables; other columns are not looked at.
+than k other vectors give as many rows as there are; scores are what double arithmetic gives, infinite or NaN beyond it; empty tables give empty tables; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from palimpsest.llm.common import materialise
 
 #: Probes a table, vectors a bucket, share that all tables may miss of the k-th nearest, vectors that need no axes.
 PROBES, FILL, MISS, EXACT = 16, 20, 0.04, 1024
+#: One in so many tables is looked at first.
+FIRST = 4
 #: Rows of buckets and pairs that are looked at together.
 ROWS, PAIRS = 100_000, 200_000
 SEED = 5
@@ -157,16 +161,19 @@ def by_dimension(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
             yield int(dim), at[i : i + 2000], matrix(b.column(1).take(pa.array(at[i : i + 2000])))
 
 
-def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[int, list[int]], asks: bool) -> DataFrame:
-    """dim, bucket, member, id, sketch: the buckets of vectors (asks: those that queries probe). rows: id, v."""
+def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[int, list[int]], asks: bool, part: int = 1) -> DataFrame:
+    """dim, bucket, member, id, sketch, bar: the buckets of vectors (asks: those that queries probe) in one of `part` tables.
+
+    rows: id, v, bar (of vectors: null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, Rotations] = {}
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, bars = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
             for dim, at, x in by_dimension(b):
                 unit, sketch, power = sketched(x)
                 axes, tables = shape[dim]
+                tables = -(-tables // part)
                 own = turn.setdefault(dim, Rotations(dim))
                 cells = math.prod(2 * a for a in axes)
                 flat = pa.array([r.tobytes() for r in sketch], pa.binary())
@@ -188,15 +195,17 @@ def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[
                     who = np.repeat(np.arange(len(at)), code.shape[1])
                     n = len(who)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim, np.int32)), pa.array(code.ravel()), pa.array(np.full(n, not asks)), pa.array(ids[at][who]), flat.take(pa.array(who))],
-                        names=["dim", "bucket", "member", "id", "sketch"],
+                        [pa.array(np.full(n, dim, np.int32)), pa.array(code.ravel()), pa.array(np.full(n, not asks)), pa.array(ids[at][who]), flat.take(pa.array(who)), pa.array(bars[at][who])],
+                        names=["dim", "bucket", "member", "id", "sketch", "bar"],
                     )
 
-    return rows.select("id", "v").mapInArrow(run, "dim int, bucket long, member boolean, id long, sketch binary")
+    return rows.select("id", "v", F.coalesce("bar", F.lit(float("-inf"))).alias("bar")).mapInArrow(run, "dim int, bucket long, member boolean, id long, sketch binary, bar double")
 
 
-def nearer(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+def nearer(q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     """Which pairs can be among the k best of their query: those that no k others are surely above."""
+    if not q.size:
+        return q
     order = np.lexsort((-low, q))
     first = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
     size = np.diff(np.append(first, len(q)))
@@ -204,11 +213,12 @@ def nearer(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, k: i
     return order[high[order] >= np.repeat(bar, size)]
 
 
-def met(rows: DataFrame, k: int, tops: dict[int, int]) -> DataFrame:
+def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False) -> DataFrame:
     """q, x, low, high: queries and vectors that share a bucket, with bounds of the inner product divided by the query's
-    length and by two to the power of the highest band (tops, a dimension), less what k others surely beat."""
+    length and by two to the power of the highest band (tops, a dimension), less what k others surely beat and what doesn't reach the query's bar. only_best: the k with the
+    best lower bounds."""
 
-    def pairs(top: int, bucket: np.ndarray, member: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> tuple:
+    def pairs(top: int, bucket: np.ndarray, member: np.ndarray, ids: np.ndarray, bar: np.ndarray, sketch: np.ndarray) -> tuple:
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         run_of = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]).astype(np.int64)]))
         members = np.add.reduceat(member.astype(np.int64), starts)
@@ -232,14 +242,16 @@ def met(rows: DataFrame, k: int, tops: dict[int, int]) -> DataFrame:
                 cosine = dot * head[a, 0] * head[b, 0]
                 off = head[a, 1].astype(np.float64) + head[b, 1] * (1.0 + head[a, 1]) + 1e-5
                 scale = np.ldexp(head[b, 2].astype(np.float64), head[b, 3].astype(np.int64) - top)
-                out.append((ids[a], ids[b], (cosine - off) * scale, (cosine + off) * scale))
+                low, high = (cosine - off) * scale, (cosine + off) * scale
+                reach = np.flatnonzero(high >= bar[a])
+                out.append((ids[a][reach], ids[b][reach], low[reach], high[reach]))
             i = j
         if not out:
             return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64))
         q, x, low, high = (np.concatenate(c) for c in zip(*out, strict=True))
         once = first_of(q, x)
         q, x, low, high = q[once], x[once], low[once], high[once]
-        keep = nearer(q, x, low, high, k)
+        keep = nearer(q, low, low if only_best else high, k)
         return q[keep], x[keep], low[keep], high[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +262,19 @@ def met(rows: DataFrame, k: int, tops: dict[int, int]) -> DataFrame:
             nonlocal held, n
             if not held:
                 return
-            dim, bucket, member, ids = (np.concatenate([h[i] for h in held]) for i in range(4))
-            sketches = [s for h in held for s in h[4]]
+            dim, bucket, member, ids, bar = (np.concatenate([h[i] for h in held]) for i in range(5))
+            sketches = [s for h in held for s in h[5]]
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
                 sketch = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(tops[int(d)], bucket[at], member[at], ids[at], sketch)], names=["q", "x", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(tops[int(d)], bucket[at], member[at], ids[at], bar[at], sketch)], names=["q", "x", "low", "high"])
             # The queries of the bucket that may go on stay.
             stay = np.flatnonzero((dim == dim[-1]) & (bucket == bucket[-1]) & ~member) if not last else np.empty(0, np.int64)
-            held = [(dim[stay], bucket[stay], member[stay], ids[stay], [sketches[i] for i in stay])] if stay.size else []
+            held = [(dim[stay], bucket[stay], member[stay], ids[stay], bar[stay], [sketches[i] for i in stay])] if stay.size else []
             n = 0
 
         for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).to_pylist()))
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(5).to_numpy(), b.column(4).to_pylist()))
             n += b.num_rows
             if n >= ROWS:
                 yield from flush(False)
@@ -306,12 +318,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     if not shape:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    members = keyed(vectors.select(F.col("x").alias("id"), "v"), shape, bands, False)
-    probes = keyed(asked.select(F.col("q").alias("id"), "v"), shape, bands, True)
     # Of a query's nearest vectors, those of its own id don't count.
     more = k + (asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
-    found = met(members.unionByName(probes), more, {d: max(x) for d, x in bands.items()}).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    tops = {d: max(x) for d, x in bands.items()}
     best = Window.partitionBy("q").orderBy(F.desc("low"), "x")
+    held, none = vectors.select(F.col("x").alias("id"), "v", F.lit(None).cast("double").alias("bar")), F.lit(None).cast("double")
+
+    def candidates(queries: DataFrame, part: int) -> DataFrame:
+        both = keyed(held, shape, bands, False, part).unionByName(keyed(queries, shape, bands, True, part))
+        return met(both, more, tops, part > 1).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+
+    first = candidates(asked.select(F.col("q").alias("id"), "v", none.alias("bar")), FIRST)
+    bars = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") == more).select("q", F.col("low").alias("bar"))
+    asking = materialise(asked.join(bars.hint("merge"), "q", "left").select(F.col("q").alias("id"), "v", "bar"))
+    found = candidates(asking, 1)
     of_query = Window.partitionBy("q")
     ranked = found.withColumn("place", F.row_number().over(best))
     bar = F.max(F.when(F.col("place") == more, F.col("low"))).over(of_query)
