@@ -14,7 +14,8 @@ Buckets hold sketches, a byte a component, with the length and the sketch's own
 below and above, so a candidate goes only if k others are surely nearer. A quarter of the tables is looked at first: the
 k-th best lower bound there is the bar that candidates of all tables must reach, so that what comes out of the buckets
 doesn't grow with what they hold. What is left is ranked by the exact inner product of the original vectors, in double
-precision.
+precision. Where more than MANY * k vectors of a bucket reach a query's bar (near copies that sketches can't tell apart),
+nothing comes out but the query: such queries go through the same buckets again with the vectors themselves.
 
 Equal vectors are one vector with its smallest ids, so that a vector that a third of all rows share costs as much as any
 other. A bucket's queries are held while its vectors stream by.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ from palimpsest.llm.common import materialise
 PROBES, FILL, MISS, EXACT = 16, 20, 0.04, 1024
 #: One in so many tables is looked at first.
 FIRST = 4
+#: Times k that may come out of one place for a query by its sketch.
+MANY = 5
 #: Rows of buckets and pairs that are looked at together.
 ROWS, PAIRS = 100_000, 200_000
 SEED = 5
@@ -161,10 +165,10 @@ def by_dimension(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
             yield int(dim), at[i : i + 2000], matrix(b.column(1).take(pa.array(at[i : i + 2000])))
 
 
-def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[int, list[int]], asks: bool, part: int = 1) -> DataFrame:
+def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[int, list[int]], asks: bool, part: int = 1, whole: bool = False) -> DataFrame:
     """dim, bucket, member, id, sketch, bar: the buckets of vectors (asks: those that queries probe) in one of `part` tables.
 
-    rows: id, v, bar (of vectors: null)."""
+    rows: id, v, bar (of vectors: null). whole: without sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, Rotations] = {}
@@ -176,7 +180,7 @@ def keyed(rows: DataFrame, shape: dict[int, tuple[list[int], int]], bands: dict[
                 tables = -(-tables // part)
                 own = turn.setdefault(dim, Rotations(dim))
                 cells = math.prod(2 * a for a in axes)
-                flat = pa.array([r.tobytes() for r in sketch], pa.binary())
+                flat = pa.array([b"" if whole else r.tobytes() for r in sketch], pa.binary())
                 for t in range(tables):
                     parts = [own(unit, t * len(axes) + j, a) for j, a in enumerate(axes)]
                     if not axes:
@@ -213,10 +217,11 @@ def nearer(q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarr
     return order[high[order] >= np.repeat(bar, size)]
 
 
-def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False) -> DataFrame:
+def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False, crowd: int = 0, exact: bool = False) -> DataFrame:
     """q, x, low, high: queries and vectors that share a bucket, with bounds of the inner product divided by the query's
     length and by two to the power of the highest band (tops, a dimension), less what k others surely beat and what doesn't reach the query's bar. only_best: the k with the
-    best lower bounds."""
+    best lower bounds. crowd: of a query for which more than so many would come out of one place only (q, -1, 0, 0)
+    does. Sketches may be vectors themselves (eight bytes a component): bounds are then exact."""
 
     def pairs(top: int, bucket: np.ndarray, member: np.ndarray, ids: np.ndarray, bar: np.ndarray, sketch: np.ndarray) -> tuple:
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -226,8 +231,10 @@ def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False)
         asking = np.flatnonzero(~member)
         n = members[run_of[asking]]
         begin = ends[run_of[asking]] - n  # members come last
-        head = np.ascontiguousarray(sketch[:, :16]).view(np.float32)
-        marks = sketch[:, 16:].view(np.int8)
+        if exact:
+            vectors = np.ascontiguousarray(sketch).view(np.float64)
+        else:
+            head, marks = np.ascontiguousarray(sketch[:, :16]).view(np.float32), sketch[:, 16:].view(np.int8)
         upto, out = np.concatenate([[0], np.cumsum(n)]), []
         i = 0
         while i < len(asking):
@@ -238,6 +245,10 @@ def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False)
                 b = np.repeat(begin[i:j] + lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
                 if not a.size:
                     continue
+                if exact:
+                    score = (vectors[a] * vectors[b]).sum(1)
+                    out.append((ids[a], ids[b], score, score))
+                    continue
                 dot = np.einsum("ij,ij->i", marks[a].astype(np.float32), marks[b].astype(np.float32)).astype(np.float64)
                 cosine = dot * head[a, 0] * head[b, 0]
                 off = head[a, 1].astype(np.float64) + head[b, 1] * (1.0 + head[a, 1]) + 1e-5
@@ -252,7 +263,14 @@ def met(rows: DataFrame, k: int, tops: dict[int, int], only_best: bool = False)
         once = first_of(q, x)
         q, x, low, high = q[once], x[once], low[once], high[once]
         keep = nearer(q, low, low if only_best else high, k)
-        return q[keep], x[keep], low[keep], high[keep]
+        q, x, low, high = q[keep], x[keep], low[keep], high[keep]
+        if crowd:
+            who, n = np.unique(q, return_counts=True)
+            full = who[n > crowd]
+            rest = ~np.isin(q, full)
+            more = lambda c, fill: np.concatenate([c[rest], np.full(len(full), fill, c.dtype)])
+            q, x, low, high = np.concatenate([q[rest], full]), more(x, -1), more(low, 0), more(high, 0)
+        return q, x, low, high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -326,16 +344,44 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
 
     def candidates(queries: DataFrame, part: int) -> DataFrame:
         both = keyed(held, shape, bands, False, part).unionByName(keyed(queries, shape, bands, True, part))
-        return met(both, more, tops, part > 1).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+        return met(both, more, tops, part > 1, 0 if part > 1 else MANY * k).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
 
     first = candidates(asked.select(F.col("q").alias("id"), "v", none.alias("bar")), FIRST)
     bars = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") == more).select("q", F.col("low").alias("bar"))
     asking = materialise(asked.join(bars.hint("merge"), "q", "left").select(F.col("q").alias("id"), "v", "bar"))
-    found = candidates(asking, 1)
+    found = materialise(candidates(asking, 1))
+    crowded = materialise(found.filter("x < 0").select("q"))
+    if crowded.isEmpty():
+        return ranked(found, vectors, asked, more, k)
+    found = found.join(crowded.hint("merge"), "q", "left_anti")
+    again = asked.join(crowded.hint("merge"), "q", "left_semi")
+    places = keyed(again.select(F.col("q").alias("id"), "v", none.alias("bar")), shape, bands, True, 1, True)
+    wanted = places.select("dim", "bucket").distinct()
+    there = keyed(held, shape, bands, False, 1, True).join(wanted.hint("merge"), ["dim", "bucket"], "left_semi")
+    raw = lambda df, key: df.select(F.col(key).alias("id"), bytes_of(F.col("v")).alias("sketch"))
+    rows_of = [side.drop("sketch").join(raw(of, key).hint("merge"), "id") for side, of, key in ((there, vectors, "x"), (places, again, "q"))]
+    both = rows_of[0].unionByName(rows_of[1]).select("dim", "bucket", "member", "id", "sketch", "bar")
+    close = met(both, more, tops, True, 0, True).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    return ranked(found.unionByName(close), vectors, asked, more, k)
+
+
+def bytes_of(v: Column) -> Column:
+    """The components as doubles, end to end."""
+
+    @F.pandas_udf("binary")
+    def packed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: np.asarray(x, np.float64).tobytes())
+
+    return packed(v)
+
+
+def ranked(found: DataFrame, vectors: DataFrame, asked: DataFrame, more: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the candidates found, by the exact inner product."""
+    best = Window.partitionBy("q").orderBy(F.desc("low"), "x")
     of_query = Window.partitionBy("q")
-    ranked = found.withColumn("place", F.row_number().over(best))
+    placed = found.withColumn("place", F.row_number().over(best))
     bar = F.max(F.when(F.col("place") == more, F.col("low"))).over(of_query)
-    left = ranked.withColumn("bar", bar).filter("bar is null or high >= bar").select("q", "x")
+    left = placed.withColumn("bar", bar).filter("bar is null or high >= bar").select("q", "x")
 
     whole = left.join(vectors.hint("merge"), "x").select("q", F.col("v").alias("w"), "ids").join(asked.hint("merge"), "q")
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

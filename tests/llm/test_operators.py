@@ -338,6 +338,18 @@ def test_nearest_extremes(spark):
     assert len(ranked[0]) == 6 and all(i not in (0, 100) for i, _ in ranked[0])  # two vectors of id 0, three rows each
 
 
+def test_nearest_among_near_copies(spark):
+    """A third of all vectors are copies that sketches can't tell apart: their queries go through the buckets again."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3000, 32))
+    v[::3] = v[0] + 1e-4 * rng.standard_normal((1000, 32))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = crosspoly.search(rows, F.col("vec_id") % 50 == 0).toPandas()
+    assert got.groupby("query_id").size().tolist() == [20] * 60
+    found = sum((g.score.to_numpy() >= _exact(v, np.arange(3000), q)[-1] - 1e-9).sum() for q, g in got.groupby("query_id"))
+    assert found >= 0.9 * 1200
+
+
 def _tie_rows():
     return [(i, [1.0, 0.0]) for i in range(2000)] + [(5000 + i, [0.0, 1.0]) for i in range(5)]
 
