@@ -13,7 +13,7 @@ buckets, and queries probe all of them (and those of their own number of compone
 Buckets hold sketches, a byte a component, with the length and the sketch's own error. They bound an inner product from
 below and above, so a candidate goes only if k others are surely nearer. A quarter of the tables is looked at first: the
 k-th best lower bound there is the bar that candidates of all tables must reach, so that what comes out of the buckets
-doesn't grow with what they hold. What is left is ranked by the exact inner product of the original vectors, in double
+doesn't grow with what they hold (a bar for that quarter comes from SAMPLE vectors). What is left is ranked by the exact inner product of the original vectors, in double
 precision. Where more than MANY * k vectors of a bucket reach a query's bar (near copies that sketches can't tell apart),
 nothing comes out but the query: such queries go through the same buckets again with the vectors themselves.
 
@@ -42,6 +42,8 @@ from palimpsest.llm.common import materialise
 
 #: Probes a table, vectors a bucket, share that all tables may miss of the k-th nearest, vectors that need no axes.
 PROBES, FILL, MISS, EXACT = 16, 20, 0.04, 1024
+#: Vectors that give a first bar.
+SAMPLE = 1024
 #: One in so many tables is looked at first.
 FIRST = 4
 #: Times k that may come out of one place for a query by its sketch.
@@ -346,7 +348,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
         both = keyed(held, shape, bands, False, part).unionByName(keyed(queries, shape, bands, True, part))
         return met(both, more, tops, part > 1, 0 if part > 1 else MANY * k).groupBy("q", "x").agg(F.max("low").alias("low"), F.max("high").alias("high"))
 
-    first = candidates(asked.select(F.col("q").alias("id"), "v", none.alias("bar")), FIRST)
+    some = vectors.select("x", "v").orderBy(F.xxhash64("v"), "x").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    first = candidates(barred(asked.select(F.col("q").alias("id"), "v"), some, more, tops), FIRST)
     bars = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") == more).select("q", F.col("low").alias("bar"))
     asking = materialise(asked.join(bars.hint("merge"), "q", "left").select(F.col("q").alias("id"), "v", "bar"))
     found = materialise(candidates(asking, 1))
@@ -365,6 +368,27 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     return ranked(found.unionByName(close), vectors, asked, more, k)
 
 
+def barred(queries: DataFrame, sample: pa.Array, k: int, tops: dict[int, int]) -> DataFrame:
+    """id, v, bar: below the k-th best inner product with the sample's vectors, in the units of met(); null for smaller samples."""
+    sent = queries.sparkSession.sparkContext.broadcast(sample)  # SAMPLE vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sent.value))), sent.value], names=["id", "v"])
+        known: dict[int, list] = {}
+        for dim, _, x in by_dimension(some):
+            known.setdefault(dim, []).append(np.ldexp(x, -tops[dim]))
+        for b in batches:
+            bars = np.full(b.num_rows, -np.inf)
+            for dim, at, x in by_dimension(b):
+                of = np.concatenate(known[dim]) if dim in known else np.empty((0, dim))
+                if len(of) >= k:
+                    s = sketched(x)[0] @ of.T
+                    bars[at] = np.partition(s, len(of) - k, axis=1)[:, len(of) - k] - 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bars)], names=["id", "v", "bar"])
+
+    return queries.mapInArrow(run, "id long, v array<double>, bar double")
+
+
 def bytes_of(v: Column) -> Column:
     """The components as doubles, end to end."""
 
