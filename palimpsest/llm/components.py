@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import discard, materialise
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: Rows of one key that a task may get in a join by key, at least; and keys that may be sent to every task because they have more.
+MOST, HEAVY = 1000, 500
+
+
+def with_key(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per by key, where per has the number n of rows of each key (n is not in the result).
+
+    Keys with more than total / HEAVY rows are HEAVY at most, so they may be broadcast, and their rows stay where they are.
+    """
+    bar = max(MOST, total // HEAVY)
+    heavy = per.filter(F.col("n") > bar).drop("n")
+    names = [c for c in heavy.columns if c != key]
+    wide = heavy.select(F.col(key), F.struct(*names).alias("_heavy"))
+    sent = rows.join(F.broadcast(wide), key, "left")
+    often = sent.filter("_heavy is not null").select(*rows.columns, *[F.col(f"_heavy.{c}").alias(c) for c in names])
+    rest = sent.filter("_heavy is null").drop("_heavy").join(per.filter(F.col("n") <= bar).drop("n").hint("merge"), key)
+    return often.unionByName(rest.select(*often.columns))
+
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours move to the least of it and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return with_key(both.filter("b > a"), least, "a", 2 * total).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours move to the least of these."""
     down = edges.select(F.col("b").alias("x"), F.col("a").alias("y"))
-    least = down.groupBy("x").agg(F.min("y").alias("m"))
-    moved = down.join(least, "x").select(F.col("m").alias("a"), F.col("y").alias("b"))
+    least = down.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = with_key(down, least, "x", total).select(F.col("m").alias("a"), F.col("y").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), F.col("x").alias("b"))).filter("a < b").distinct()
 
 
@@ -29,13 +48,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds end when a round changes nothing: every node then hangs on its root. Each round is a written table.
     """
     now = materialise(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct())
-    mark = None
+    mark, total = None, now.count()
     while True:
-        after = materialise(_small(_large(now)))
+        after = materialise(_small(_large(now, total), total))
         discard(now)
         now = after
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
             break
-        mark = tuple(got)
+        mark, total = tuple(got), got[0]
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

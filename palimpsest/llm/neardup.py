@@ -1,11 +1,14 @@
 """MinHash near-duplicates by an LSH forest, with exact links.
 
-A text is the set of its shingles of `words` words. Signatures of 128 minima form a forest: tree t orders the
-signatures from minimum 4t on, and texts that share the first four values (their longest common prefix is that long)
-form a region. Regions of more than REGION texts are too shallow: their texts go to a deeper forest of 128 trees with
-prefixes of eight values, so that depth follows the region while every pair at the threshold still meets (a pair of similarity 0.8 is missed by all
-trees of either forest with a chance under 10^-7). Within a region, sketches of one byte a minimum find groups at an
-estimate of ROUGH or more, far under the threshold; deep regions that are still large are one group as they stand. Groups
+A text is the set of its shingles of `words` words, with a signature of 128 minima. A forest sorts all signatures in
+several orders: order t reads the minima from 4t on. Neighbours in an order with the longest common prefixes are candidates:
+a region is a run of neighbours that share a prefix, at first of FLOOR minima. A region of more than REGION texts is too
+shallow and is split where the next minimum differs, and so on, so that depth follows the region; what shares all LENGTH
+minima of an order is one group as it stands. Texts of regions that were split go through a second forest besides, of 128
+orders with a floor of eight, as deep prefixes are shared less often. A pair of similarity 0.8 shares the floor of no order
+of the first forest with a chance of 5 * 10^-8, of none of the second with one of about 2 * 10^-5 (its orders read the same
+128 minima). Orders are sorted by ranges; a region that is cut by the end of a range is two in that order.
+Within a region, sketches of one byte a minimum find groups at an estimate of ROUGH or more, far under the threshold. Groups
 only bring candidates together: in each, links are found on the full sets, by a breadth-first search that compares only texts not yet
 connected. A group too large for one task is cut into chunks, searched each; then a hub and all texts outside the
 largest part are compared with every chunk, so no link between parts is lost.
@@ -30,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise, texts
-from palimpsest.llm.components import components
+from palimpsest.llm.components import components, with_key
 
-#: Minima of a signature; trees and values of a prefix in the first and in the deeper forest.
-MINIMA, TREES, DEPTH, DEEP_TREES, DEEP = 128, 32, 4, 128, 8
-#: Most texts of a region that are compared by sketches.
-REGION = 2000
+#: Minima of a signature, minima that an order sorts by, orders and floors of both forests.
+MINIMA, LENGTH, ORDERS, FLOOR, DEEP_ORDERS, DEEP_FLOOR = 128, 12, 32, 4, 128, 8
+#: Most texts of a region that are compared by sketches, and rows of an order that a task holds at once.
+REGION, ROWS = 2000, 400_000
 #: Similarity by sketches (standard error 0.035 at 0.8) from which texts are in one group.
 ROUGH = 0.62
 #: Shingles of the sets that one task may hold.
@@ -44,7 +47,8 @@ CHUNK = 4_000_000
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(1, 2**32, MINIMA, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
-_DEEP_PICKS = np.stack([_rng.permutation(MINIMA)[:DEEP] for _ in range(DEEP_TREES)])
+_DEEP_PICKS = np.stack([_rng.permutation(MINIMA)[:LENGTH] for _ in range(DEEP_ORDERS)])
+_PICKS = np.stack([(MINIMA // ORDERS * t + np.arange(LENGTH)) % MINIMA for t in range(ORDERS)])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,15 +91,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(sig: np.ndarray, deep: bool) -> np.ndarray:
-    """One 64-bit key a tree for signatures in rows: equal if and (but for chance) only if the prefixes are."""
-    parts = sig[:, _DEEP_PICKS].astype(np.uint64) if deep else sig.reshape(len(sig), TREES, DEPTH).astype(np.uint64)
-    h = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1000 * deep), parts.shape[:2]).copy()
-    for i in range(parts.shape[2]):
-        h = mixed(h * _MIX + parts[:, :, i])
-    return h.view(np.int64)
-
-
 def identity() -> Column:
     """What tells documents apart: doc_id (null last) and a hash of the text, in the order of representatives."""
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
@@ -128,17 +123,85 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefixed(nodes: DataFrame, deep: bool) -> DataFrame:
-    """key, node: a row a tree."""
+    """tree, p0, p1, p2, node: the prefix of each text in each order, four minima of 16 bits a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks = _DEEP_PICKS if deep else _PICKS
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, MINIMA).astype(np.uint16)
+                got = np.ascontiguousarray(sig[:, picks].astype(">u2")).view(">i8").astype(np.int64).reshape(-1, LENGTH // 4)
+                n = len(picks)
+                tree = np.tile(np.arange(n, dtype=np.int16), len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(tree), *[pa.array(np.ascontiguousarray(got[:, j])) for j in range(3)], part.column(0).take(pa.array(np.repeat(np.arange(len(sig)), n)))], names=["tree", "p0", "p1", "p2", "node"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "tree short, p0 long, p1 long, p2 long, node binary")
+
+
+def shared(p: np.ndarray) -> np.ndarray:
+    """How many leading minima each row of prefixes (tree, p0, p1, p2) shares with the row before; none with another tree."""
+    out = np.zeros(len(p), np.int64)
+    same = np.ones(len(p) - 1, bool) if len(p) else np.empty(0, bool)
+    same &= p[1:, 0] == p[:-1, 0]
+    for j in range(1, p.shape[1]):
+        differ = (p[1:, j] ^ p[:-1, j]).view(np.uint64)
+        equal = (differ >> np.uint64(48) == 0).astype(np.int64)
+        for k in (32, 16, 0):
+            equal += (equal == (48 - k) // 16) & (differ >> np.uint64(k) == 0)
+        out[1:] += np.where(same, equal, 0)
+        same &= differ == 0
+    return out
+
+
+def regions(trees: DataFrame, floor: int) -> DataFrame:
+    """region, node, hub, split: regions of two texts or more in each order, equal ones under one number.
+
+    hub: of texts that share the whole prefix and are too many, the first, with which each belongs; region is null then.
+    split: the text's region at the floor was too large (region is null if nothing is left beside the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_p, held_n = np.empty((0, 4), np.int64), np.empty((0, 2), np.uint64)
+
+        def closed(p: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(p):
+                return
+            lcp = shared(p)
+            depth = np.full(len(p), floor)
+            hub = np.full(len(p), -1)
+            while True:
+                first = np.flatnonzero(lcp < depth)
+                size = np.diff(np.append(first, len(p)))
+                large = np.repeat(size > REGION, size)
+                if not (large & (depth < LENGTH)).any():
+                    break
+                depth = np.where(large & (depth < LENGTH), depth + 1, depth)
+            own = np.repeat(np.arange(len(first)), size)
+            hub = np.where(large, first[own], -1)
+            split = depth > floor
+            number = np.add.reduceat(mixed(names[:, 0] ^ names[:, 1]), first)[own].view(np.int64)
+            several = (size > 1)[own]
+            use = np.flatnonzero(several | split)
+            raw = names.tobytes()
+            name = [raw[16 * i : 16 * i + 16] for i in use]
+            no_region = ~several[use] | (hub[use] >= 0)
+            hubs = [raw[16 * h : 16 * h + 16] if h >= 0 else None for h in hub[use].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(number[use], mask=no_region), pa.array(name, pa.binary()), pa.array(hubs, pa.binary()), pa.array(split[use])], names=["region", "node", "hub", "split"])
+
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, MINIMA)
-                got = keys(sig, deep)
-                yield pa.RecordBatch.from_arrays([pa.array(got.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(sig)), got.shape[1])))], names=["key", "node"])
+            p = np.stack([b.column(j).to_numpy().astype(np.int64) for j in range(4)], 1)
+            held_p = np.concatenate([held_p, p])
+            held_n = np.concatenate([held_n, np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, 2)])
+            if len(held_p) >= ROWS:
+                # What may go on stays; a region of more than half of ROWS is cut here.
+                open_ = np.flatnonzero(shared(held_p) < floor)[-1]
+                at = open_ if open_ > len(held_p) // 2 else len(held_p)
+                yield from closed(held_p[:at], held_n[:at])
+                held_p, held_n = held_p[at:], held_n[at:]
+        yield from closed(held_p, held_n)
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node binary")
+    order = ["tree", "p0", "p1", "p2", "node"]
+    return trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "region long, node binary, hub binary, split boolean")
 
 
 def search(n: int, pivot_hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -175,10 +238,10 @@ def edge_batch(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def rough_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: within each region of few texts, edges that span its groups by sketches. members: key, node."""
-    listed = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all")).select("all").distinct()
-    # A region that several trees have is looked at once.
-    rows = listed.select(F.xxhash64("all").alias("region"), F.explode("all").alias("node"))
+    """a, b: within each region, edges that span its groups by sketches. members: region, node."""
+    # A region that several orders have is looked at once; a text has one region an order at most.
+    of = members.groupBy("node").agg(F.collect_set("region").alias("regions"))
+    rows = of.join(nodes.select("node", "sketch").hint("merge"), "node").select(F.explode("regions").alias("region"), "node", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
@@ -193,25 +256,20 @@ def rough_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
         if out:
             yield edge_batch(out)
 
-    return rows.join(nodes.select("node", "sketch"), "node").select("region", "node", "sketch").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
     """node, root: groups that hold every link; nodes of no group are absent."""
     found = []
     for deep in (False, True):
-        trees = prefixed(nodes, deep)
-        sizes = trees.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = materialise(trees.join(sizes.hint("merge"), "key"))  # both sides grow with the input
-        found.append(rough_edges(members.filter(F.col("n") <= REGION).select("key", "node"), nodes))
-        large = members.filter(F.col("n") > REGION)
-        if large.isEmpty():
+        members = materialise(regions(prefixed(nodes, deep), DEEP_FLOOR if deep else FLOOR))
+        found.append(rough_edges(members.filter("region is not null").select("region", "node"), nodes))
+        found.append(members.filter("hub is not null and hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        split = members.filter("split").select("node").distinct()
+        if deep or split.isEmpty():
             break
-        if deep:
-            first = large.groupBy("key").agg(F.min("node").alias("a"))
-            found.append(large.join(first, "key").filter("node != a").select("a", F.col("node").alias("b")))
-        else:
-            nodes = nodes.join(large.select("node").distinct(), "node", "left_semi")
+        nodes = nodes.join(split.hint("merge"), "node", "left_semi")
     edges = found[0]
     for x in found[1:]:
         edges = edges.union(x)
@@ -295,8 +353,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
     nodes = materialise(nodes)
     grouped = materialise(groups(nodes).join(nodes.select("node", "first", "size"), "node"))
-    weights = grouped.groupBy("root").agg(F.sum("size").alias("weight"))
-    dealt = grouped.join(weights, "root").withColumn("chunks", F.ceil(F.col("weight") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    weights = materialise(grouped.groupBy("root").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")))
+    dealt = with_key(grouped, weights, "root", grouped.count()).withColumn("chunks", F.ceil(F.col("weight") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     held = dealt.hint("merge").join(docs.select(identity().alias("first"), F.col("text").cast("string").alias("text")), "first")
     none = F.lit(None).cast("int")
     alone = held.select(F.struct("root", "chunk").alias("run"), none.alias("side"), F.lit(None).cast("binary").alias("part"), "node", "text", "chunks")
@@ -320,9 +378,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -
             right = marked.join(used, "root").select(F.struct("root", F.col("chunk"), "slice").alias("run"), F.lit(1).alias("side"), "part", "node", "text")
             links = materialise(links.union(exact_edges(left.union(right), words, percent)))
     part = components(links)
-    least = part.join(nodes.select("node", "first"), "node")
-    roots = least.groupBy("root").agg(F.min("first").alias("keeper"))
-    of = least.join(roots, "root").select("node", "keeper")
+    least = materialise(part.join(nodes.select("node", "first"), "node"))
+    roots = least.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    of = with_key(least, roots, "root", least.count()).select("node", "keeper")
     named = nodes.select("node", "first").join(of, "node", "left").select("node", F.coalesce("keeper", "first").alias("keeper"))
     out = rows.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("keeper.id"))

@@ -79,7 +79,7 @@ def _components(rows, words, percent):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+            if min(len(a), len(sets[j])) * 100 >= percent * max(len(a), len(sets[j])) and a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -104,6 +104,26 @@ def test_near_duplicates(spark, monkeypatch, chunk, region):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("region", [2000, 4])
+def test_near_duplicates_of_documents(spark, monkeypatch, region):
+    """Every link of a whole table, by brute force; also where all regions are split again and again."""
+    monkeypatch.setattr(neardup, "REGION", region)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = neardup.linked(docs, 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(rows, 2, 80)
+
+
+def test_prefix_lengths():
+    """shared() against a loop, on minima that often agree."""
+    rng = np.random.default_rng(1)
+    minima = rng.integers(0, 2, (300, 12)).astype(np.uint16)
+    rows = sorted((int(t), tuple(m)) for t, m in zip(rng.integers(0, 3, 300), minima.tolist(), strict=True))
+    p = np.array([[t, *np.array(m, ">u2").view(">i8")] for t, m in rows], np.int64)
+    want = [0] + [0 if a[0] != b[0] else next((i for i in range(12) if a[1][i] != b[1][i]), 12) for a, b in zip(rows, rows[1:], strict=False)]
+    assert neardup.shared(p).tolist() == want
+
+
 def test_near_duplicates_awkward(awkward, empty):
     assert neardup.linked(awkward, 2).count() == len(AWKWARD)
     assert neardup.linked(empty, 2).count() == 0
