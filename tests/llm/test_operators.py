@@ -258,6 +258,24 @@ def test_licences_across_lines(spark):
         assert [tuple(b) for b in got[i].blocks] == want
 
 
+def test_licence_table(spark):
+    """Templates from a table of many, by brute force over sets; copies of one text are scanned alike."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    table = [(f"l{i}", " ".join(rng.sample(words, rng.randrange(3, 8)))) for i in range(60)] + [("none", " ,; ")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(25)))) for i in range(80)] + [(200 + i, "w1 w2 w3 w4 w5 w6") for i in range(50)]
+    got = licences.scan(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(table, "label string, text string"), phrases={"no such": "x"}).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        t, want = texts[r.doc_id].split(), set()
+        for label, text in table[:-1]:
+            own, width = set(text.split()), 2 * len(text.split())
+            if any(len(own & set(t[j : j + width])) >= 0.8 * len(own) - 1e-9 for j in range(len(t))):
+                want.add(label)
+        assert r.labels == ",".join(sorted(want))
+
+
 def test_spots(spark, awkward, empty):
     rows = spark.createDataFrame([r for r in AWKWARD], SCHEMA).collect()
     got = spots.compare_with_next(awkward.select("doc_id", "text")).collect()
