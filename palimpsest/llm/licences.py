@@ -148,7 +148,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, phr
     templates: text to label, or a table of label and text. blocks: array of (word, label, containment) of each match;
     word is the place of its first word in the text. score: the best containment, 1 for a phrase.
     """
-    found = found_blocks(docs, template_table(docs.sparkSession, templates, threshold), text_col)
+    found = materialise(found_blocks(docs, template_table(docs.sparkSession, templates, threshold), text_col))
     rows = docs.select(F.col(id_col).alias("id"), *key(docs, text_col), normal(F.col(text_col).cast("string")).alias("norm"))
     norm = F.col("norm")
     n_words = F.greatest(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) - 1, F.lit(0)).cast("long")
