@@ -94,19 +94,19 @@ def screened(rows: list[np.ndarray], labels: np.ndarray, bits: int, least: int,
     rest = np.sort(rest[np.argsort(-(often * (n.sum() - often))[rest], kind="stable")[:pool]])
     place = np.full(1 << bits, -1)
     place[rest] = np.arange(len(rest))
-    both = [np.zeros((len(rest), len(rest)), np.float32) for _ in (0, 1)]
-    for c in (0, 1):
-        own = [r for r, y in zip(rows, pos, strict=True) if y == bool(c)]
-        for i in range(0, len(own), 512):
-            x = np.zeros((len(own[i : i + 512]), len(rest)), np.float32)
-            for j, r in enumerate(own[i : i + 512]):
-                at = place[r]
-                x[j, at[at >= 0]] = 1
-            both[c] += x.T @ x
-    z = gap(*both)
-    z[both[0] + both[1] < least] = 0
-    np.fill_diagonal(z, 0)
-    keep[rest[(z >= 1.75 * clear).any(1)]] = True
+    # Rows in which both slots of a pair are, by class: two tables of pool * pool numbers, and no more at a time than a few of their rows.
+    both = [np.zeros(len(rest) ** 2, np.int32) for _ in (0, 1)]
+    for r, y in zip(rows, pos, strict=True):
+        at = place[r]
+        at = at[at >= 0]
+        for part in range(0, len(at), 256):
+            both[int(y)][(at[part : part + 256, None] * len(rest) + at).ravel()] += 1
+    for i in range(len(rest)):
+        a, b = (x[i * len(rest) : (i + 1) * len(rest)] for x in both)
+        z = np.where(a + b >= least, gap(a, b), 0)
+        z[i] = 0
+        if (z >= 1.75 * clear).any():
+            keep[rest[i]] = True
     return keep
 
 
