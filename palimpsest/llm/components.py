@@ -17,8 +17,10 @@ def with_key(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame
 
     Keys with more than total / HEAVY rows are HEAVY at most, so they may be broadcast, and their rows stay where they are.
     """
-    bar = max(MOST, total // HEAVY)
+    bar, per = max(MOST, total // HEAVY), materialise(per)
     heavy = per.filter(F.col("n") > bar).drop("n")
+    if heavy.isEmpty():
+        return rows.join(per.drop("n").hint("merge"), key)
     names = [c for c in heavy.columns if c != key]
     wide = heavy.select(F.col(key), F.struct(*names).alias("_heavy"))
     sent = rows.join(F.broadcast(wide), key, "left")
