@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,20 +73,15 @@ def likeness(a: frozenset[int], b: frozenset[int], threshold: float = 0.0) -> fl
 
 def cell_of(column: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most the value, by binary search."""
-    if not bounds:
-        return F.lit(0)
+    steps = F.lit(np.array([1 << b for b in reversed(range(len(bounds).bit_length()))], dtype=np.int64))
+    held = F.lit(np.array(bounds, dtype=np.int64))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda lo, step: F.when(F.get(held, (lo + step - 1).cast("int")) <= column, lo + step).otherwise(lo)).cast("int") if bounds else F.lit(0)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
-
-
-#: Bytes of text a range of ids is to hold, and the most ranges.
-RANGE_BYTES, MOST_RANGES = 12_000_000, 2048
+#: Bytes of text that a range of ids is to hold in 100 MB of text; 16 times the text makes ranges twice as large.
+RANGE_BYTES = 4_000_000
+#: Ids that a range's bounds are read from.
+IDS_A_RANGE = 200
 
 
 def compare_with_next(docs: DataFrame, chain: int = 2) -> DataFrame:
@@ -93,28 +89,32 @@ def compare_with_next(docs: DataFrame, chain: int = 2) -> DataFrame:
 
     The next document is that with the next smaller doc_id; after the smallest comes the largest. A row whose doc_id is
     null is ordered last. The edited text has the last floor(n_chars / 2) code points replaced by the first as many of
-    the next document, or all of them. The texts are shuffled once: ids are cut into ranges of about RANGE_BYTES, each
-    is sorted by id, and the largest row of a range is also sent to the range above, where it follows the smallest.
+    the next document, or all of them. The texts are shuffled once: ids are cut into ranges, as many as the text needs,
+    each is sorted by id, and the largest row of a range is also sent to the range above, where it follows the smallest.
+    Bounds come from the ids of some rows: they only even out the tasks, no result depends on them. The driver holds
+    three numbers a range.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    fine = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    head = base.agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.percentile_approx(key, fine, 10 * MOST_RANGES).alias("cuts")).first()
-    n = max(1, min(MOST_RANGES, math.ceil((head["size"] or 0) / RANGE_BYTES)))
-    bounds = sorted({head["cuts"][i * MOST_RANGES // n - 1] for i in range(1, n)}) if n > 1 else []
-    dealt = base.withColumn("_key", key).withColumn("_cell", cell_of(F.col("_key"), bounds))
-    tops = {r["_cell"]: r["top"] for r in base.select(cell_of(key, bounds).alias("_cell"), key.alias("_key")).groupBy("_cell").agg(F.max("_key").alias("top")).collect()}
-    cells = sorted(tops)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long")
+    head = base.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("size")).first()
+    size = head["size"] or 0
+    n = max(1, math.ceil(size / (RANGE_BYTES * max(size / 100e6, 1e-9) ** 0.25)))
+    thin = max(1, head["rows"] // (IDS_A_RANGE * n))
+    some = base.select(key.alias("_key")).filter(F.pmod(F.xxhash64("_key"), F.lit(thin)) == 0)
+    cuts = some.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] if n > 1 else None
+    bounds = sorted(set(cuts or []))
+    top = {r["_cell"]: r["top"] for r in base.select(cell_of(key, bounds).alias("_cell"), key.alias("_key")).groupBy("_cell").agg(F.max("_key").alias("top")).collect()}
+    cells = sorted(top)
     # The largest id of each range goes to the range above, that of the highest to the lowest.
-    above = {tops[c]: cells[(i + 1) % len(cells)] for i, c in enumerate(cells)}
-    if above:
-        copy = F.element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("_key"))
-        dealt = dealt.withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("copy")), F.when(copy.isNotNull(), F.struct(copy.alias("cell"), F.lit(1).alias("copy")))))))
-    else:
-        dealt = dealt.withColumn("_to", F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("copy")))
+    above = dict(zip(cells, cells[1:] + cells[:1], strict=True))
+    per_cell = lambda of: F.get(F.lit(np.array([of.get(c, 0) for c in range(len(bounds) + 1)], dtype=np.int64)), F.col("_cell"))
+    to = lambda cell, copy: F.struct(cell.cast("int").alias("cell"), F.lit(copy).alias("copy"))
+    dealt = base.withColumn("_key", key).withColumn("_cell", cell_of(F.col("_key"), bounds))
+    both = F.array(to(F.col("_cell"), 0), to(per_cell(above), 1))
+    dealt = dealt.withColumn("_to", F.explode(F.when(per_cell(top) == F.col("_key"), both).otherwise(F.array(to(F.col("_cell"), 0)))))
     ordered = (
         dealt.select(F.col("_to.cell").alias("cell"), F.col("_to.copy").alias("copy"), "_key", "doc_id", "text")
-        .repartition(max(1, len(cells)), "cell")
+        .repartitionById(len(bounds) + 1, F.col("cell"))
         .sortWithinPartitions("cell", "copy", F.desc("_key"), "text")
     )
 

@@ -295,7 +295,7 @@ def test_spots(spark, awkward, empty):
 
 
 def test_spots_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr(spots, "RANGE_BYTES", 20)
+    monkeypatch.setattr(spots, "RANGE_BYTES", 1)
     rows = [(i * 7 % 50, f"text {i} of the words in a row") for i in range(50)]
     a = spots.compare_with_next(spark.createDataFrame(rows, SCHEMA)).collect()
     monkeypatch.setattr(spots, "RANGE_BYTES", 10**9)
