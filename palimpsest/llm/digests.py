@@ -76,9 +76,9 @@ def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation written as mail (each message quotes the one before it, and within that the first line of
     the one before that) and taken apart again; every row is a message, whatever key it shares."""
     every = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
-    earlier = every.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))  # of rows with one key, the smallest text is quoted
-    back = lambda n: earlier.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
-    mail = every.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    back = lambda n: every.select("conv_id", (F.col("turn") + n).alias("turn"), *[(F.col("text") if i == n else F.lit(None).cast("string")).alias(f"back{i}") for i in (1, 2)])
+    earlier = back(1).unionByName(back(2)).groupBy("conv_id", "turn").agg(F.min("back1").alias("back1"), F.min("back2").alias("back2"))  # of rows with one key, the smallest text is quoted
+    mail = every.join(earlier, ["conv_id", "turn"], "left")
     first = F.split("back2", "\n", 2)[0]
     head = F.when(F.col("back2").isNotNull(), F.concat(quotes.quoted(first, ">> "), F.lit("\n"))).otherwise("")
     text = F.when(F.col("back1").isNotNull(), F.concat(F.lit("On an earlier day they wrote:\n"), head, quotes.quoted(F.col("back1")), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))

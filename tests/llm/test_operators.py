@@ -436,6 +436,16 @@ def test_quotes(spark):
     assert pick(3, 0) == (0, 0, None, None, "")
 
 
+def test_partial_quotations(spark):
+    """Any line links a passage; most lines win, then the later message; other conversations come last."""
+    rows = [
+        (1, 0, "alpha\nbeta\ngamma"), (1, 1, "alpha\ndelta"), (1, 2, ">\n> beta\n> gamma\nx"), (1, 3, "> alpha\n> beta\n> gamma changed\ny"),
+        (1, 4, "> reworded\n> delta\nz"), (1, 5, "> alpha\nw"), (2, 0, "> new words\n> beta\n> gamma\nv"), (2, 1, "> alpha\nu"),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [got[k] for k in [(1, 2), (1, 3), (1, 4), (1, 5), (2, 0), (2, 1)]] == [(1, 0), (1, 1), (1, 1), (1, 1), (1, 0), (1, 0)]
+
+
 def test_quotation_query_keeps_rows(spark, tmp_path):
     """Rows that share a key, or have none, are messages of their own."""
     rows = [(1, 0, "first"), (1, 1, "x"), (1, 1, "y\n> nowhere\nz"), (1, 1, "x"), (1, 2, "last"), (None, None, "p"), (None, None, "q"), (1, None, "r"), (1, None, None)]
@@ -448,9 +458,19 @@ def test_quotation_query_keeps_rows(spark, tmp_path):
 
 
 def test_quotation_query_equals_sql(spark):
-    df = queries.QUERIES["op1_quotation_links"](spark, DATA)
+    _quotation_query_equals_sql(spark, DATA, f"{DATA}/conversations.parquet")
+
+
+def test_quotation_query_equals_sql_on_ties(spark, tmp_path):
+    rows = [(1, 0, "first"), (1, 0, "earlier\nof two"), (1, 1, "b"), (1, 1, "b"), (1, 1, "c"), (1, 2, "last"), (None, None, "p"), (None, 0, None), (2, 0, ""), (2, 1, "after nothing")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    _quotation_query_equals_sql(spark, str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")
+
+
+def _quotation_query_equals_sql(spark, folder, files):
+    df = queries.QUERIES["op1_quotation_links"](spark, folder)
     c = duckdb.connect()
-    c.execute(f"create view conversations as select * from '{DATA}/conversations.parquet'")
+    c.execute(f"create view conversations as select * from '{files}'")
     r = c.execute(queries.ORACLES["op1_quotation_links"])
     names = [x[0] for x in r.description]
     assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(r.fetchall(), key=repr)
