@@ -5,14 +5,19 @@ lines of one level are a passage. Passages are normalised (marks off, lower case
 line by line. A quoted passage belongs to the latest earlier message of its conversation that has it as its own (level
 0) passage; else (a partial quotation) each of its lines that aren't blank names the latest earlier message that has that
 line, and the message that most lines name is taken, the latest of equal ones; failing that, it belongs to the first message of any
-conversation that has it whole, then to the one that most lines name so. A message replies to what its first passage of the lowest quoted level belongs to; without a
+other conversation that has it whole, then to the one that most lines name so. A message replies to what its first passage of the lowest quoted level belongs to; without a
 linked quotation, to nothing. Clean texts hold the own lines only; a line "On ... wrote:" right before a quotation goes with it.
 
+Replies make threads, across conversations too. A thread is named by the message that it begins with; its reply order is
+depth first: a message, then its replies by conversation and turn, each with all below it. Where other conversations reply
+to each other in a ring, the smallest message of the ring begins the thread. Threads of any depth are placed by doubling.
+
 Sources of a hash in a conversation are reduced to distinct turns, and the search for the latest one goes by spans of
 SPAN turns, so that neither a very common line nor a very long conversation gathers in one task.
 
 Edge cases: null and empty texts have no passages; blank passages are not linked; a null conv_id or turn is never
-linked; rows that share conv_id and turn are one source, and each gets the links of its own text; empty tables give empty tables.
+linked and stands alone; rows that share conv_id and turn are one source, and each gets the links of its own text and
+a place below what that replies to, replies to them stand below the one with the smallest hash; equal rows share a place; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -90,6 +95,16 @@ def latest(asked: DataFrame, having: DataFrame) -> DataFrame:
     return near.join(far, [*keys, "span"]).select(*keys, "turn", F.coalesce("near", "far").alias("found"))
 
 
+def elsewhere(asked: DataFrame, having: DataFrame) -> DataFrame:
+    """asked (conv, hash) with any: the first (conv, turn) of having in another conversation with the same hash."""
+    asked = asked.distinct()
+    one = having.join(asked.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "conv").agg(F.min("turn").alias("turn"))
+    # Of each hash the two first conversations are enough.
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("conv"))
+    two = one.withColumn("rank", rank).filter("rank <= 2").select("hash", F.struct("conv", "turn").alias("any"))
+    return asked.join(two, "hash").filter(F.col("any.conv") != F.col("conv")).groupBy("conv", "hash").agg(F.min("any").alias("any"))
+
+
 def most(found: DataFrame, quote: list[str], source: list[str], earliest: bool) -> DataFrame:
     """quote, at: the source with the most lines of each quotation; of equal ones the first or the last."""
     counts = found.groupBy(*quote, *source).count()
@@ -115,18 +130,63 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     second = materialise(first.filter("found is null").drop("found").join(picked, quote, "left"))
     links.append(second.filter("found is not null").select(*kept, F.col("conv").alias("source_conv"), F.col("found").alias("source_turn")))
     # What it doesn't have at all is looked up in the corpus.
-    lost = second.filter("found is null")
-    whole, line = (have.filter(F.col("whole") == w).groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("any")) for w in (True, False))
-    lines = lost.select(*quote, F.explode("lines").alias("hash")).join(line, "hash").select(*quote, F.col("any.conv").alias("source_conv"), F.col("any.turn").alias("source_turn"))
-    other = lost.join(whole, "hash", "left").join(most(lines, quote, ["source_conv", "source_turn"], True), quote, "left")
+    lost = materialise(second.filter("found is null"))
+    whole, line = (elsewhere(lost.select("conv", h.alias("hash")), have.filter(F.col("whole") == w)) for w, h in ((True, F.col("hash")), (False, F.explode("lines"))))
+    lines = lost.select(*quote, F.explode("lines").alias("hash")).join(line, ["conv", "hash"]).select(*quote, F.col("any.conv").alias("source_conv"), F.col("any.turn").alias("source_turn"))
+    other = lost.join(whole, ["conv", "hash"], "left").join(most(lines, quote, ["source_conv", "source_turn"], True), quote, "left")
     links.append(other.select(*kept, F.coalesce("any.conv", "source_conv").alias("source_conv"), F.when(F.col("any").isNotNull(), F.col("any.turn")).otherwise(F.col("source_turn")).alias("source_turn")))
     return parsed.select("conv", "turn", "row", "clean"), links[0].unionByName(links[1]).unionByName(links[2])
 
 
+def without_rings(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent, conv, turn, row, ...); the smallest message of each ring loses its parent.
+
+    Doubling: least is the smallest of the messages that the steps so far come by, which is the own one in a ring's smallest only.
+    """
+    if not nodes.filter("to_conv > conv").head(1):  # all replies go to smaller messages
+        return nodes
+    label = F.struct("conv", "turn", "row")
+    walk = nodes.filter("parent is not null").select("id", F.col("parent").alias("at"), label.alias("own"))
+    walk, steps = materialise(walk.join(nodes.select(F.col("id").alias("at"), label.alias("least")), "at")), 1
+    while steps < walk.count():
+        ahead = walk.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("least").alias("more"))
+        walk, steps = materialise(walk.join(ahead, "at").select("id", F.col("next").alias("at"), "own", F.least("least", "more").alias("least"))), steps * 2
+    first = walk.filter("least = own").select("id", F.lit(True).alias("first"))
+    return materialise(nodes.join(first, "id", "left").withColumn("parent", F.when(F.col("first").isNull(), F.col("parent"))).drop("first"))
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """id, thread_conv, thread_turn, place (messages of the thread ahead of it) of nodes (id, parent, conv, turn, row, copies).
+
+    Both passes double: what is known of the 2^r nearest messages above or below gives what is known of twice as many.
+    """
+    # Messages in and below each: every round adds those twice as far below, and only goes on with what lies deeper.
+    live, sizes = nodes.filter("parent is not null").select("id", F.col("parent").alias("at"), F.col("copies").alias("size")), nodes.select("id", F.col("copies").alias("size"))
+    while live.head(1):
+        below = live.groupBy(F.col("at").alias("id")).agg(F.sum("size").alias("more"))
+        sizes = sizes.unionByName(below.withColumnRenamed("more", "size"))
+        ahead = live.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        live = materialise(live.join(ahead, "at").join(below, "id", "left").select("id", F.col("next").alias("at"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    # What stands between a message and its parent: replies of the same message that come first, with all below them.
+    root = F.col("parent").isNull()
+    peers = Window.partitionBy("parent", F.when(root, F.col("conv")), F.when(root, F.col("turn"))).orderBy("conv", "turn", "row").rowsBetween(Window.unboundedPreceding, -1)
+    sized = nodes.join(sizes.groupBy("id").agg(F.sum("size").alias("size")), "id").withColumn("step", F.coalesce(F.sum("size").over(peers), F.lit(0)) + F.col("copies"))
+    own = materialise(sized.select("id", "parent", "conv", "turn", "copies", "step"))
+    state = lambda df, at, top: df.select("id", at.alias("at"), top.alias("top"), "step")
+    done = state(own.filter("parent is null"), F.lit(None).cast("long"), F.col("id"))
+    live = state(own.filter("parent is not null"), F.col("parent"), F.lit(None).cast("long"))
+    while live.head(1):
+        ahead = done.unionByName(live).select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("top").alias("above"), F.col("step").alias("more"))
+        moved = materialise(live.drop("top").join(ahead, "at").select("id", F.col("next").alias("at"), F.col("above").alias("top"), (F.col("step") + F.col("more")).alias("step")))
+        done, live = done.unionByName(moved.filter("at is null")), moved.filter("at is not null")
+    tops = own.select(F.col("id").alias("top"), F.col("conv").alias("thread_conv"), F.col("turn").alias("thread_turn"))
+    return done.join(own.select("id", "copies"), "id").join(tops, "top").select("id", "thread_conv", "thread_turn", (F.col("step") - F.col("copies")).alias("place"))
+
+
 def threads(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, n_quotes, n_linked, deepest, reply_conv, reply_turn, clean: conversations in reply order without quotes.
+    """conv_id, turn, n_quotes, n_linked, deepest, reply_conv, reply_turn, thread_conv, thread_turn, place, clean: messages without quotes.
 
-    A conversation read by turn is in reply order, as what a message replies to within it is an earlier turn.
+    By thread_conv, thread_turn and place they are threads in reply order.
     """
     clean, quotes = link(messages)
     linked = F.col("source_turn").isNotNull()
@@ -136,9 +196,19 @@ def threads(messages: DataFrame) -> DataFrame:
         F.max("level").alias("deepest"),
         F.min(F.when(linked, F.struct("level", "start", "source_conv", "source_turn"))).alias("r"),
     )
-    out = clean.join(per, ["conv", "turn", "row"], "left")
+    keys = ["conv", "turn", "row"]
+    told = clean.filter("conv is not null and turn is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).join(per, keys, "left")
+    told = materialise(told.select(*keys, "copies", "n_quotes", "n_linked", "deepest", F.col("r.source_conv").alias("to_conv"), F.col("r.source_turn").alias("to_turn"), F.monotonically_increasing_id().alias("id")))
+    source = told.groupBy(F.col("conv").alias("to_conv"), F.col("turn").alias("to_turn")).agg(F.min_by("id", "row").alias("parent"))
+    told_by = told.select(*keys, "copies", "id", "to_conv", "to_turn")
+    alone = told_by.filter("to_conv is null").withColumn("parent", F.lit(None).cast("long"))  # apart, as nulls would meet in one task
+    nodes = materialise(told_by.join(source, ["to_conv", "to_turn"]).unionByName(alone))
+    out = clean.join(told.join(placed(without_rings(nodes)), "id"), keys, "left")
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
-    return out.select(F.col("conv").alias("conv_id"), "turn", zero("n_quotes", "long"), zero("n_linked", "long"), zero("deepest", "int"), F.col("r.source_conv").alias("reply_conv"), F.col("r.source_turn").alias("reply_turn"), "clean")
+    return out.select(
+        F.col("conv").alias("conv_id"), "turn", zero("n_quotes", "long"), zero("n_linked", "long"), zero("deepest", "int"), F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"),
+        F.coalesce("thread_conv", "conv").alias("thread_conv"), F.coalesce("thread_turn", "turn").alias("thread_turn"), zero("place", "long"), "clean",
+    )
 
 
 def quoted(text: Column, marks: str = "> ") -> Column:

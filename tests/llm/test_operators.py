@@ -446,6 +446,58 @@ def test_partial_quotations(spark):
     assert [got[k] for k in [(1, 2), (1, 3), (1, 4), (1, 5), (2, 0), (2, 1)]] == [(1, 0), (1, 1), (1, 1), (1, 1), (1, 0), (1, 0)]
 
 
+def test_reply_order(spark):
+    """Threads depth first, across conversations, with rings, copies and shared keys; against brute force."""
+    talk = [
+        (1, 0, "one"), (1, 1, "> one\ntwo"), (1, 2, "> two\nthree"), (1, 3, "> one\nfour"),  # 3 replies to 0
+        (2, 0, "> two\nfive"), (2, 1, "> five\nsix"),  # another conversation, placed in the first
+        (3, 0, "> eight\nseven"), (4, 0, "> seven\neight"), (4, 1, "> eight\nnine"), (7, 0, "> nine\nten"),  # a ring, and what hangs on it
+        (5, 0, "> eleven\neleven"), (6, 0, "> later"), (6, 1, "later"),  # neither itself nor what comes later
+        (8, 0, "x"), (8, 0, "x"), (8, 1, "> x\ny"), (None, 1, "> one"), (2, None, "> one"),
+    ]
+    run = lambda rows: quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    by = collections.defaultdict(list)
+    for r in run(talk):
+        by[r.thread_conv, r.thread_turn].append((r.place, r.conv_id, r.turn))
+    want = {
+        (1, 0): [(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 2, 0), (4, 2, 1), (5, 1, 3)], (3, 0): [(0, 3, 0), (1, 4, 0), (2, 4, 1), (3, 7, 0)],
+        (5, 0): [(0, 5, 0)], (6, 0): [(0, 6, 0)], (6, 1): [(0, 6, 1)], (8, 0): [(0, 8, 0), (0, 8, 0), (2, 8, 1)], (None, 1): [(0, None, 1)], (2, None): [(0, 2, None)],
+    }
+    assert {k: sorted(v) for k, v in by.items()} == want
+    # Random replies: each message has a line of its own; a chain of 150 is deeper than one doubling.
+    rng = random.Random(3)
+    keys = [(c, t) for c in range(12) for t in range(8)] + [(20, t) for t in range(150)]
+    up = {k: (20, k[1] - 1) if k[0] == 20 and k[1] else rng.choice([None, *([(k[0], rng.randrange(k[1]))] * 3 if k[1] else []), rng.choice([x for x in keys if x[0] != k[0]])]) for k in keys}
+    say = lambda k: f"said {k[0]} {k[1]}"
+    got = run([(*k, (f"> {say(up[k])}\n" if up[k] else "") + say(k)) for k in keys])
+    assert {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in got} == {k: up[k] or (None, None) for k in keys}
+    for k in keys:  # rings begin with their smallest
+        seen, at = [], k
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = up[at]
+        if at is not None:
+            up[min(seen[seen.index(at) :])] = None
+    order, below = {}, collections.defaultdict(list)
+    for k in sorted(keys):
+        below[up[k]].append(k)
+    for root in below[None]:
+        todo, n = [root], 0
+        while todo:
+            k = todo.pop()
+            order[k], n = (*root, n), n + 1
+            todo += reversed(below[k])
+    assert {(r.conv_id, r.turn): (r.thread_conv, r.thread_turn, r.place) for r in got} == order
+
+
+def test_quotation_query_in_reply_order(spark, tmp_path):
+    """The query's rows come in reply order: a conversation that quotes another follows the message quoted."""
+    rows = [(1, 0, "a"), (1, 1, "b"), (2, 0, "elsewhere"), (9, 0, "the last"), (0, 0, "> the last\nfirst by number"), (0, 1, "more")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.conv_id, r.turn) for r in queries.QUERIES["op1_quotation_links"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 0), (1, 1), (2, 0), (9, 0), (0, 0), (0, 1)]
+
+
 def test_quotation_query_keeps_rows(spark, tmp_path):
     """Rows that share a key, or have none, are messages of their own."""
     rows = [(1, 0, "first"), (1, 1, "x"), (1, 1, "y\n> nowhere\nz"), (1, 1, "x"), (1, 2, "last"), (None, None, "p"), (None, None, "q"), (1, None, "r"), (1, None, None)]
