@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -225,6 +227,22 @@ def test_mixer(spark, awkward, empty):
     assert mixer.score(empty, F.lit(True)).count() == 0
 
 
+def test_mixer_words(spark):
+    """Texts are split into the same words as by bytes.lower().split(), whatever they hold, many at a time and in small slices."""
+    odd = [t or "" for _, t in AWKWARD] + ["", " ", "\n\t", " a ", "A\x0bB\x0cc\x1cd\x85e\u00a0f\u2003g", "\u0130\u00c4 \u00e4 K", "\x00 \x00a", "x" * 5000, " y" * 3000]
+    texts = pa.array([x for t in odd for x in (t, t + " end")])
+    words, starts = mixer.split(texts)
+    want = [t.encode().lower().split() for t in texts.to_pylist()]
+    assert [words.cast(pa.binary()).to_pylist()[a:b] for a, b in itertools.pairwise(starts.tolist())] == want
+    b = pa.record_batch([texts, pa.array([len(t.encode()) for t in texts.to_pylist()])], names=["text", "n"])
+    old, mixer.SLICE = mixer.SLICE, 4000
+    try:
+        parts = list(mixer.slices(b, 1))
+    finally:
+        mixer.SLICE = old
+    assert len(parts) > 3 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
+
+
 def test_licences(spark, awkward, empty):
     rows = [(1, "x\nReleased under the MIT License.\nAll rights reserved, cc BY 4"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the license is under the table"), (4, "RELEASED under MIT license")]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
