@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import mapped
 
 #: Entries at which a worker's cache of encoded pieces starts anew, and characters split at once. Both bound memory only.
 CACHE, BLOCK = 400_000, 1_000_000
@@ -153,9 +153,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 ends.append(e)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, type=kind) for x in (ids, starts, ends))], names=["id", "ids", "starts", "ends"])
+        own.cache.clear()  # the codec stays with the worker, its pieces don't
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -191,6 +192,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                     ends = np.cumsum(own.length_of[np.frombuffer(ids, dtype="<u4")])[:-1]
                     split.append(int(((np.frombuffer(back, dtype=np.uint8)[ends] & 0xC0) == 0x80).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(split, pa.int64())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"])
+        own.cache.clear()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint").withColumnRenamed("id", id_col)

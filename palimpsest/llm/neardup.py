@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise, texts
+from palimpsest.llm.common import mapped, materialise, texts
 from palimpsest.llm.components import components
 
 #: Minima of a signature, minima that an order sorts by, orders and floors of both forests.
@@ -119,7 +119,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node binary, sig binary, sketch binary")
+    return mapped(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node binary, sig binary, sketch binary")
 
 
 def prefixed(nodes: DataFrame, deep: bool) -> DataFrame:
@@ -136,7 +136,7 @@ def prefixed(nodes: DataFrame, deep: bool) -> DataFrame:
                 tree = np.tile(np.arange(n, dtype=np.int16), len(sig))
                 yield pa.RecordBatch.from_arrays([pa.array(tree), *[pa.array(np.ascontiguousarray(got[:, j])) for j in range(3)], part.column(0).take(pa.array(np.repeat(np.arange(len(sig)), n)))], names=["tree", "p0", "p1", "p2", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "tree short, p0 long, p1 long, p2 long, node binary")
+    return mapped(nodes.select("node", "sig"), run, "tree short, p0 long, p1 long, p2 long, node binary")
 
 
 def shared(p: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def regions(trees: DataFrame, floor: int) -> DataFrame:
         yield from closed(held_p, held_n)
 
     order = ["tree", "p0", "p1", "p2", "node"]
-    return trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "region long, node binary, hub binary, split boolean")
+    return mapped(trees.repartitionByRange(*order).sortWithinPartitions(*order), run, "region long, node binary, hub binary, split boolean")
 
 
 def search(n: int, pivot_hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -256,7 +256,7 @@ def rough_edges(members: DataFrame, nodes: DataFrame) -> DataFrame:
         if out:
             yield edge_batch(out)
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a binary, b binary")
+    return mapped(rows.repartition("region").sortWithinPartitions("region"), run, "a binary, b binary")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def exact_edges(rows: DataFrame, words: int, percent: int) -> DataFrame:
         if out:
             yield edge_batch(out)
 
-    return rows.select("run", "side", "part", "node", "text").repartition("run").sortWithinPartitions("run").mapInArrow(run, "a binary, b binary")
+    return mapped(rows.select("run", "side", "part", "node", "text").repartition("run").sortWithinPartitions("run"), run, "a binary, b binary")
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 0) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fresh, texts
+from palimpsest.llm.common import fresh, mapped, release, texts
 
 #: Bytes of a word, lower-cased, and a space for every other byte.
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -170,11 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, k: int = 4, max_ro
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms(t).tobytes() for t in texts(b.column(1))], pa.binary()), b.column(2)], names=["doc_id", "slots", "label"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample(docs, labels, max_rows).mapInArrow(run, f"doc_id {kind}, slots binary, label int")
+    found = mapped(sample(docs, labels, max_rows), run, f"doc_id {kind}, slots binary, label int")
     # Rows that share a doc_id are all in the sample's join, so the bound is kept on rows too.
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(max_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.slots)))
-    return fit([np.sort(np.frombuffer(bytes(r.slots), dtype=np.int32)) for r in rows], np.array([float(r.label) for r in rows]), bits, k)
+    machine = fit([np.sort(np.frombuffer(bytes(r.slots), dtype=np.int32)) for r in rows], np.array([float(r.label) for r in rows]), bits, k)
+    del rows
+    release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +195,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -209,4 +212,4 @@ def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", out: str
                 z = margins(m, [terms(t) for t in texts(part.column(at))])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, docs.select("*").withColumn(out, F.lit(0.0)).schema)
+    return mapped(docs, run, docs.select("*").withColumn(out, F.lit(0.0)).schema)

@@ -583,6 +583,36 @@ def test_pipeline(spark):
     assert 0 < out.select("doc_id").distinct().count() <= table.count()
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    """Workers get texts a few MB at a time, not 64: the batch behind each column that operators look at."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.repeat(F.concat(F.lit(" "), F.col("id").cast("string")), 1500)).alias("text")).coalesce(1)
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+
+    def looked_at(column):
+        if column.get_total_buffer_size() > 16 << 20:
+            raise ValueError("a large batch")
+        return [b"" for _ in range(len(column))]
+
+    class Codec:
+        length_of, cache = np.ones(1, np.int64), {}
+
+        def encode_many(self, many):
+            if sum(map(len, many)) > 16 << 20:
+                raise ValueError("a large batch")
+            return [bytes(4) for _ in many]
+
+        def decode(self, ids):
+            return ids
+
+    monkeypatch.setattr(toxicity, "texts", looked_at)
+    monkeypatch.setattr(neardup, "texts", looked_at)
+    monkeypatch.setattr(bpe, "codec", lambda path, pattern: Codec())
+    machine = toxicity.train(docs, labels)
+    assert toxicity.annotate(docs, machine).agg(F.count("toxicity")).first()[0] == toxicity.score(docs, machine).agg(F.count("score")).first()[0] == 3000
+    assert neardup.described(docs, 5).agg(F.sum("n_shingles"), F.count("doc_id")).first() == (0, 3000)
+    assert bpe.round_trip(docs, digests.RANKS, P.PATTERN).agg(F.sum("n_tokens"), F.count("doc_id")).first() == (3000, 3000)
+
+
 CLASHING = ["row", "_id", "_h", "_s", "_source", "_tokens", "_last", "_slice", "_block", "_key", "_weight", "_n", "blocks", "rest", "_toxicity", "toxicity", "score", "h", "node", "id", "key", "word", "train", "first"]
 
 
