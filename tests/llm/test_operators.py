@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 
@@ -243,6 +244,49 @@ def test_mixer_words(spark):
     assert len(parts) > 3 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
 
 
+def test_mixer_memory(spark, tmp_path, monkeypatch):
+    """Every worker of the mixer gets a few MB at a time, and scores don't depend on the batches."""
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.concat(F.lit(" word"), F.col("id").cast("string")), 1500), F.lit(" end")).alias("text")).coalesce(1)
+    plain, seen = type(docs).mapInArrow, str(tmp_path)
+
+    def watched(df, run, *rest):
+        def look(batches):
+            for b in batches:
+                with open(f"{seen}/{os.getpid()}", "a") as f:
+                    f.write(f"{b.nbytes}\n")
+                yield b
+
+        return plain(df, lambda batches: run(look(batches)), *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    train = F.col("doc_id") % 10 != 0
+    got = {r.doc_id: r.score for r in mixer.score(docs, train).collect()}
+    sizes = [int(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
+    assert len(got) == 900 and max(sizes) > 1 << 20
+    assert max(sizes) < 8 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(100_000))
+    monkeypatch.setattr(mixer, "GATHERED", 1)
+    try:
+        small = {r.doc_id: r.score for r in mixer.score(docs, train).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert all(math.isclose(got[k], small[k], rel_tol=1e-12) for k in got)
+
+
+def test_mixer_gathers(monkeypatch):
+    """Small batches are mixed together, rows in turn; texts laid out from a slice are those of the slice."""
+    monkeypatch.setattr(mixer, "GATHERED", 100)
+    batches = [pa.record_batch([pa.array(range(i, i + n), pa.int64())], names=["x"]) for i, n in ((0, 5), (5, 0), (5, 9), (14, 30), (44, 1))]
+    assert [b.column(0).to_pylist() for b in mixer.gathered(iter(batches))] == [list(range(14)), list(range(14, 44)), [44]]
+    assert not list(mixer.gathered(iter([])))
+    values, starts = np.arange(12, dtype=np.uint16), np.array([0, 3, 3, 4, 12])
+    variants, classes = mixer.joined(values, starts), mixer.joined(np.arange(244, 256, dtype=np.uint8), starts)
+    own = mixer.Texts(variants.slice(1), classes.slice(1), (np.zeros(1, np.int32), np.zeros(12, np.int64), np.zeros(12, np.int64), 1))
+    assert own.variants.tolist() == list(range(3, 12)) and own.starts.tolist() == [0, 0, 1, 9]
+    assert own.one.tolist() == [0, 0, *range(248, 255)]
+    assert own.two.tolist() == [0, 0, 248, *(a * 256 + a + 1 for a in range(248, 254))]
+
+
 def test_licences(spark, awkward, empty):
     rows = [(1, "x\nReleased under the MIT License.\nAll rights reserved, cc BY 4"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the license is under the table"), (4, "RELEASED under MIT license")]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
